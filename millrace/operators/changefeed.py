@@ -24,7 +24,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -148,13 +148,9 @@ class ChangeFeedTable:
         return self.table.read().filter("live")
 
 
-def log_kind(column) -> F.Column:
-    """put, delete, begintx, committx or checkpoint, however spelled; null for anything else."""
-    form = folded(column)
-    kind = F.lit(None).cast("string")
-    for name, number in LOG_TYPES.items():
-        kind = F.when((form == name) | (form == number), F.lit(name)).otherwise(kind)
-    return kind
+def log_kind(*kinds: str, column: str = "entry_type") -> Column:
+    """Whether a record is of one of the kinds, however spelled; false for records of no known kind."""
+    return F.coalesce(folded(F.col(column)).isin([x for k in kinds for x in (k, LOG_TYPES[k])]), F.lit(False))
 
 
 def store_changes(log: DataFrame, entries: DataFrame) -> DataFrame:
@@ -166,18 +162,18 @@ def store_changes(log: DataFrame, entries: DataFrame) -> DataFrame:
     changes only; the join is left to adaptive execution, which broadcasts the
     commits if they turn out small and splits hot transactions if not.
     """
-    rows = log.select("db_name", "seq", "tx_id", "key", log_kind(F.col("entry_type")).alias("kind"))
-    puts = rows.filter(F.col("kind").isin("put", "delete") & F.col("key").isNotNull())
-    live = (F.col("kind") == "put").alias("live")
+    puts = log.filter(F.col("key").isNotNull() & log_kind("put", "delete"))
+    live = log_kind("put").alias("live")
     plain = puts.filter(F.col("tx_id").isNull()).select("db_name", "key", F.col("seq").alias("eff"), F.col("seq").alias("tie"), live)
-    commits = rows.filter((F.col("kind") == "committx") & F.col("tx_id").isNotNull()).groupBy("db_name", "tx_id").agg(F.min("seq").alias("eff"))
+    commits = log.filter(F.col("tx_id").isNotNull() & log_kind("committx")).groupBy("db_name", "tx_id").agg(F.min("seq").alias("eff"))
     within = (
         puts.filter(F.col("tx_id").isNotNull())
+        .select("db_name", "tx_id", "key", F.col("seq").alias("tie"), live)
         .join(commits, ["db_name", "tx_id"])
-        .select("db_name", "key", "eff", F.col("seq").alias("tie"), live)
+        .select("db_name", "key", "eff", "tie", "live")
     )
     stored = entries.filter(F.col("entry_type").isin(0, 1)).select(
-        "db_name", "key", F.col("sequence").alias("eff"), F.lit(2**63 - 1).alias("tie"), (F.col("entry_type") == 0).alias("live")
+        "db_name", "key", F.col("sequence").alias("eff"), F.lit(2**63 - 1).alias("tie"), F.coalesce(F.col("entry_type") == 0, F.lit(False)).alias("live")
     )
     return plain.unionByName(within).unionByName(stored)
 
