@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from millrace.llm import packing, tokens
+from millrace.llm import packing, personal, tokens
 from millrace.sources.tables import load
 
 
@@ -31,7 +31,15 @@ def p7_fill(spark, d):
     )
 
 
-QUERIES = {f.__name__: f for f in (p6_ids, p6_decoded, p7_containers, p7_fill)}
+def p8_found(spark, d):
+    return personal.find_personal(load(spark, d, "documents"))
+
+
+def p8_redacted(spark, d):
+    return personal.redact_personal(load(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p6_ids, p6_decoded, p7_containers, p7_fill, p8_found, p8_redacted)}
 
 SQL = {
     "p6_decoded": "select doc_id, coalesce(text, '') as text from documents",
