@@ -14,11 +14,12 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.errors import CorruptionError, NotFound
 from millrace.operators.compaction import _open
+from millrace.operators.neighbours import with_neighbours
 from millrace.session import Files, ship
 
 FILES = "relative_path string, size long, modified long, checksum long"
@@ -60,11 +61,10 @@ def changed_files(later: DataFrame, earlier: DataFrame) -> DataFrame:
 
 def chain_breaks(snapshots: DataFrame, group: str | None = None, order: str = "sequence") -> DataFrame:
     """Snapshots that break their chain: the first must be full, an incremental one must name its predecessor."""
-    window = Window.partitionBy(*([group] if group else [])).orderBy(order)
-    before = snapshots.withColumn("_before", F.lag("id").over(window)).withColumn("_first", F.row_number().over(window) == 1)
+    near = with_neighbours(snapshots, [group] if group else [], [order], "id", "_before", "_behind")
     full = F.col("snapshot_type") == "full"
-    good = F.when(F.col("_first"), full).otherwise(full | F.col("parent_id").eqNullSafe(F.col("_before")))
-    return before.filter(~F.coalesce(good, F.lit(False))).drop("_before", "_first")
+    good = full | F.col("parent_id").eqNullSafe(F.col("_before")) & F.col("_before").isNotNull()
+    return near.filter(~F.coalesce(good, F.lit(False))).drop("_before", "_behind")
 
 
 class Snapshots:

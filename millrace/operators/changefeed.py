@@ -11,7 +11,8 @@ Tombstones are rows with live = False and stay in the state: a change older than
 the delete may still arrive. The same upsert runs first in each map task, as a
 combiner, so that a key sends one row per task through the shuffle, however hot
 it is; then once per bucket, a hash partition of the keys. The buckets are
-written to a new folder of a versioned table, which one rename publishes.
+written to a new folder of a versioned table, which one rename publishes. A
+later feed reads and rewrites only the buckets that it touches.
 
 Defined results: a change with a null key, eff or live is no change; an empty
 feed gives an empty table; of changes with equal (eff, tie) a put goes before
@@ -28,6 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.errors import NotFound
 from millrace.functions.text import folded
 from millrace.session import fresh_path, partitions_for, ship
 from millrace.sources.versioned import VersionedTable
@@ -108,44 +110,79 @@ def _upserter(schema: T.StructType, keys: Sequence[str], most: int | None):
     return run
 
 
-def latest_changes(changes: DataFrame, keys: Sequence[str], payload: Sequence[str] = (), bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """One row for each key: its last change, tombstones included."""
-    ship(changes.sparkSession)
-    whole = changes.select(*keys, F.col("eff").cast("long").alias("eff"), F.col("tie").cast("long").alias("tie"), F.col("live").cast("boolean").alias("live"), *payload)
+def _whole(changes: DataFrame, keys: Sequence[str], payload: Sequence[str]) -> DataFrame:
+    rows = changes.select(*keys, F.col("eff").cast("long").alias("eff"), F.col("tie").cast("long").alias("tie"), F.col("live").cast("boolean").alias("live"), *payload)
     for c in (*keys, "eff", "live"):
-        whole = whole.filter(F.col(c).isNotNull())
-    whole = whole.withColumn("tie", F.coalesce("tie", F.lit(-(2**63))))
-    schema = whole.schema
-    combined = whole.mapInArrow(_upserter(schema, list(keys), COMBINER_KEYS), schema)
-    buckets = combined.repartition(partitions_for(changes, bucket_bytes), *keys)
-    return buckets.mapInArrow(_upserter(schema, list(keys), None), schema)
+        rows = rows.filter(F.col(c).isNotNull())
+    return rows.withColumn("tie", F.coalesce("tie", F.lit(-(2**63))))
+
+
+def latest_changes(changes: DataFrame, keys: Sequence[str], payload: Sequence[str] = (), buckets: int | None = None, prior: DataFrame | None = None) -> DataFrame:
+    """One row for each key: its last change, tombstones included; laid out by bucket.
+
+    `prior` is a state of the same columns, which needs no combining.
+    """
+    ship(changes.sparkSession)
+    rows = _whole(changes, keys, payload)
+    schema = rows.schema
+    combined = rows.mapInArrow(_upserter(schema, list(keys), COMBINER_KEYS), schema)
+    if prior is not None:
+        combined = combined.unionByName(prior.select(*schema.names))
+    count = buckets or partitions_for(changes, BUCKET_BYTES)
+    return combined.repartitionById(count, bucket_of(keys, count)).mapInArrow(_upserter(schema, list(keys), None), schema)
+
+
+def bucket_of(keys: Sequence[str], buckets: int) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
 
 
 class ChangeFeedTable:
-    """A table kept by applying change feeds to it; any order of the feeds gives the same state."""
+    """A table kept by applying change feeds to it; any order of the feeds gives the same state.
+
+    The number of buckets is fixed by the first feed (or given) and kept with the
+    table; every commit names the folder of each bucket.
+    """
 
-    def __init__(self, spark: SparkSession, root: str, keys: Sequence[str], payload: Sequence[str] = ()):
-        self.keys, self.payload = list(keys), list(payload)
+    def __init__(self, spark: SparkSession, root: str, keys: Sequence[str], payload: Sequence[str] = (), buckets: int | None = None):
+        self.keys, self.payload, self.buckets = list(keys), list(payload), buckets
         self.table = VersionedTable(spark, root)
+        self.spark = spark
+
+    def _read(self, places: dict[str, str]) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(*sorted(f"{folder}/bucket={k}" for k, folder in places.items()))
+
+    @property
+    def schema(self) -> T.StructType:
+        return T.StructType.fromJson(self.table.head()["schema"])
 
-    def apply(self, changes: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> dict:
-        """Applies the feed to the current version and publishes the next one, all buckets at once."""
-        wanted = [*self.keys, "eff", "tie", "live", *self.payload]
-        feed = changes.select(*wanted)
+    def apply(self, changes: DataFrame) -> dict:
+        """Applies the feed to the current version and publishes the next one, all touched buckets at once."""
+        feed = _whole(changes, self.keys, self.payload)
         onto = self.table.head()
-        if onto is not None:
-            feed = self.table.read(onto["version"]).select(*wanted).unionByName(feed)
+        places: dict[str, str] = dict(onto["places"]) if onto else {}
+        count = onto["buckets"] if onto else self.buckets or partitions_for(changes, BUCKET_BYTES)
+        prior = None
+        if places:
+            # at most as many numbers as there are buckets
+            touched = {str(r[0]) for r in feed.select(bucket_of(self.keys, count)).distinct().collect()} & places.keys()
+            prior = self._read({k: places[k] for k in touched}) if touched else None
         folder = self.table.new_folder()
-        latest_changes(feed, self.keys, self.payload, bucket_bytes).write.parquet(folder)
-        return self.table.commit(folder, onto)
+        state = latest_changes(feed, self.keys, self.payload, count, prior)
+        state.withColumn("bucket", bucket_of(self.keys, count)).write.partitionBy("bucket").parquet(folder)
+        written = [x.partition("=")[2] for x in self.table.files.names(folder) if x.startswith("bucket=")]
+        places.update(dict.fromkeys(written, folder))
+        return self.table.commit(folder, onto, buckets=count, places=places, schema=feed.schema.jsonValue())
 
     def state(self) -> DataFrame:
         """The last change of every key, with tombstones."""
-        return self.table.read()
+        head = self.table.head()
+        if head is None:
+            raise NotFound(f"nothing has been applied to {self.table.root}")
+        return self._read(head["places"]) if head["places"] else self.spark.createDataFrame([], self.schema)
 
     def current(self) -> DataFrame:
         """The live rows."""
-        return self.table.read().filter("live")
+        return self.state().filter("live")
 
 
 def log_kind(*kinds: str, column: str = "entry_type") -> Column:

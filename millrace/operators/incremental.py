@@ -25,8 +25,6 @@ records without database or sequence are left out; repeated rows are one version
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,11 +40,14 @@ BUCKETS = 16
 def versions(table: DataFrame, source: str, listed: str = "listed_at") -> DataFrame:
     """(source_table, db_name, sequence, readable_at, row_hash): each distinct content and when it could first be read."""
     content = [c for c in table.columns if c != listed]
+    named = [f"c{i}" for i in range(len(content))]  # whatever the columns are called
+    rows = table.select(F.col(listed).alias("listed"), *[F.col(f"`{c}`").alias(n) for c, n in zip(content, named, strict=True)])
+    name, sequence = named[content.index("db_name")], named[content.index("sequence")]
     return (
-        table.filter(F.col("db_name").isNotNull() & F.col("sequence").isNotNull())
-        .groupBy(*content)
-        .agg(F.min(listed).alias("readable_at"))
-        .select(F.lit(source).alias("source_table"), "db_name", "sequence", "readable_at", F.xxhash64(F.lit(source), *content, "readable_at").alias("row_hash"))
+        rows.filter(F.col(name).isNotNull() & F.col(sequence).isNotNull())
+        .groupBy(*named)
+        .agg(F.min("listed").alias("readable_at"))
+        .select(F.lit(source).alias("source_table"), F.col(name).alias("db_name"), F.col(sequence).alias("sequence"), "readable_at", F.xxhash64(F.lit(source), *named, "readable_at").alias("row_hash"))
     )
 
 
@@ -156,11 +157,13 @@ class IncrementalView:
 
     def result(self) -> DataFrame:
         schema = "db_name string, sequence long, source_table string, bucket int"
+        if not self.files.exists(self.target):
+            return self.spark.createDataFrame([], "source_table string, db_name string, sequence long")
         return self.spark.read.schema(schema).parquet(self.target).filter(F.col("sequence").isNotNull()).select("source_table", "db_name", "sequence")
 
     def log(self) -> list[dict]:
         """The commits so far, with the number of partitions that each computed."""
-        return json.loads(json.dumps(self.prints.commits()))
+        return self.prints.commits()
 
 
 def unread_sequences(tables: dict[str, DataFrame], runs: DataFrame) -> DataFrame:

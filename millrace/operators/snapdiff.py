@@ -19,10 +19,11 @@ cases.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.text import folded, plain_path
+from millrace.operators.neighbours import with_neighbours
 from millrace.session import materialize
 
 
@@ -42,7 +43,7 @@ def diff_pairs(later: DataFrame, earlier: DataFrame, keys: list[str], values: li
 
 
 def full_snapshots(meta: DataFrame) -> DataFrame:
-    """(snapshot_id, next_id): full snapshots by their newest rows, each with the next full one of its database."""
+    """(snapshot_id, next_id, before_id): full snapshots by their newest rows, each with its neighbours among those of its database."""
     newest = (
         meta.select(folded(F.col("id")).alias("snapshot_id"), F.struct("listed_at", "sequence", "db_name", folded(F.col("snapshot_type")).alias("kind")).alias("row"))
         .filter(F.col("snapshot_id").isNotNull())
@@ -51,8 +52,8 @@ def full_snapshots(meta: DataFrame) -> DataFrame:
         .select("snapshot_id", "row.sequence", "row.db_name", "row.kind")
         .filter(F.col("kind") == "full")
     )
-    order = Window.partitionBy("db_name").orderBy("sequence", "snapshot_id")
-    return newest.select("snapshot_id", F.lead("snapshot_id").over(order).alias("next_id"), F.lag("snapshot_id").over(order).alias("before_id"))
+    near = with_neighbours(newest, ["db_name"], ["sequence"], "snapshot_id", "before_id", "next_id")
+    return near.select("snapshot_id", "next_id", "before_id")
 
 
 def snapshot_changes(meta: DataFrame, files: DataFrame) -> DataFrame:

@@ -62,7 +62,7 @@ class VersionedTable:
 
     def vacuum(self) -> int:
         """Deletes data folders that no commit names, such as those of failed writers; no writer may be at work."""
-        named = {x for c in self.commits() for x in [c["folder"], *c.get("folders", [])]}
+        named = {x for c in self.commits() for x in [c["folder"], *c.get("folders", []), *c.get("places", {}).values()]}
         stale = [x for x in self.files.names(self.root) if x.startswith("data-") and f"{self.root}/{x}" not in named]
         for x in stale:
             self.files.delete(f"{self.root}/{x}")
