@@ -9,8 +9,8 @@ best-fit decreasing, in groups of at most GROUP_ITEMS.
 An item over the capacity is divided into full containers of its own and a rest
 that is packed like other items; no other item is divided.
 
-Defined results: items without length (null) or of length 0 take no room but get
-a container; negative lengths count as 0; a capacity below 1 or null has no
+Defined results: items without length (null) or of length 0 take no room and go to
+a container that is full already, if there is one; negative lengths count as 0; a capacity below 1 or null has no
 containers; repeated ids are items of their own.
 """
 
@@ -29,6 +29,8 @@ from millrace.session import materialize, ship
 
 #: Windows that a partition keeps open for each capacity.
 OPEN_WINDOWS = 128
+#: Items without length that wait for a first full container.
+WAITING = 10_000
 #: Items that the last merge packs at once.
 GROUP_ITEMS = 100_000
 
@@ -77,22 +79,39 @@ def _online(specs: list[tuple[int, int]], most: int):
         windows = {s: Windows(c, most, f"{s}-{task}") for s, c in specs}
         held: dict[tuple[int, int], list[tuple]] = {}
         rows: list[tuple] = []
+        closed: dict[int, str] = {}
+        waiting: dict[int, list[int]] = {s: [] for s, _ in specs}
         for batch in batches:
             for doc, size in zip(batch.column("doc_id").to_pylist(), batch.column("size").to_pylist(), strict=True):
                 for spec, capacity in specs:
                     w = windows[spec]
+                    if not size:
+                        # never held with a window: there may be any number of them
+                        if spec not in closed and len(waiting[spec]) < WAITING:
+                            waiting[spec].append(doc)
+                        else:
+                            rows.append((spec, doc, 0, 0, 0, closed.setdefault(spec, f"{spec}-{task}-none"), False, capacity))
+                        continue
                     piece, start = 0, 0
                     while size - start > capacity:
-                        rows.append((spec, doc, piece, start, start + capacity, f"{spec}-{task}-full-{w.count}", False, capacity))
+                        closed[spec] = f"{spec}-{task}-full-{w.count}"
+                        rows.append((spec, doc, piece, start, start + capacity, closed[spec], False, capacity))
                         w.count += 1
                         piece, start = piece + 1, start + capacity
                     window, emitted = w.place(size - start)
                     if emitted is not None:
-                        rows.extend((*x, w.name(emitted), False, capacity) for x in held.pop((spec, emitted)))
+                        closed[spec] = w.name(emitted)
+                        rows.extend((*x, closed[spec], False, capacity) for x in held.pop((spec, emitted)))
                     held.setdefault((spec, window), []).append((spec, doc, piece, start, size))
             if len(rows) > 20_000:
                 yield _batch(rows)
                 rows = []
+        for spec, capacity in specs:
+            for doc in waiting[spec]:
+                if spec in closed:
+                    rows.append((spec, doc, 0, 0, 0, closed[spec], False, capacity))
+                else:
+                    held.setdefault((spec, windows[spec].place(0)[0]), []).append((spec, doc, 0, 0, 0))
         for (spec, window), items in held.items():
             rows.extend((*x, windows[spec].name(window), True, windows[spec].capacity) for x in items)
             if len(rows) > 20_000:

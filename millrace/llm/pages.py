@@ -29,21 +29,37 @@ _ALPHA = np.zeros(0x10000, bool)
 for _c in range(0x10000):
     _UPPER[_c], _ALPHA[_c] = chr(_c).isupper(), chr(_c).isalpha()
 
-_BROKEN = re.compile("[-\xac=\xad][ \t]*\r?\n[ \t]*|[\xb7^~\xad\r]")
+_BROKEN = re.compile("([-\xac=\xad])([ \t]*\r?\n[ \t]*)|[\xb7^~\xad\r]")
 
 
 def clean(text: str) -> tuple[str, np.ndarray]:
-    """The cleaned view and the offset of each of its signs in the text."""
+    """The cleaned view and the offset of each of its signs in the text.
+
+    A hyphen at a line end goes if the word may go on behind it; between digits it
+    stays and the break goes; before another kind of sign (lines of another column
+    or an advert may follow) both stay.
+    """
     keep, at, pieces = [], 0, []
+
+    def take(a: int, b: int) -> None:
+        if b > a:
+            pieces.append(text[a:b])
+            keep.append((a, b))
+
     for m in _BROKEN.finditer(text):
         a, b = m.span()
-        if a > at:
-            pieces.append(text[at:a])
-            keep.append((at, a))
+        take(at, a)
+        if m.group(1) is not None:
+            before, behind = text[a - 1 : a], text[b : b + 1]
+            if before.isdigit() and behind.isdigit():
+                take(a, a + 1)
+            elif not (before.isalpha() and behind.isalpha() and (behind.islower() or before.isupper())):
+                if m.group(1) in "-=":
+                    take(a, a + 1)
+                newline = text.index("\n", a)
+                take(newline, newline + 1)
         at = b
-    if at < len(text):
-        pieces.append(text[at:])
-        keep.append((at, len(text)))
+    take(at, len(text))
     offsets = np.concatenate([np.arange(a, b) for a, b in keep]) if keep else np.zeros(0, np.int64)
     return "".join(pieces).replace("\n", " ").replace("\t", " "), offsets
 
@@ -62,6 +78,8 @@ BEFORE, AFTER = 26, 24
 #: Articles and the like: before a capitalised word they don't begin a name.
 _ARTICLES = ("The", "THE", "Our", "OUR", "Der", "Die", "Das", "Ein", "Une", "Les", "Los", "Las", "One")
 _ARTICLE_KEYS = np.array([ord(w[0]) << 16 | ord(w[1]) << 8 | ord(w[2]) for w in _ARTICLES])
+#: How French street words begin: rue, avenue, chemin, quai, impasse, boulevard.
+_STREET_KEYS = np.array([ord(w[0]) << 8 | ord(w[1]) for w in ("ru", "av", "ch", "qu", "im", "bo")])
 _DOT = ord("d") << 16 | ord("o") << 8 | ord("t")
 
 
@@ -109,7 +127,7 @@ def seeds(codes: np.ndarray) -> np.ndarray:
     point = behind[first] == 46
     article = np.isin(key, _ARTICLE_KEYS) | ((length == 1) & (behind == 32))
     caps = cap[first] & cap[second] & (gap <= 3) & (~point | (length[first] <= 4) | (gap <= 1)) & ~article[first]
-    house = (gap <= 3) & num[first] & ~point & (cap[second] | ((length[second] >= 3) & (((one[second] == 114) & (two[second] == 117)) | ((one[second] == 97) & (two[second] == 118)))))
+    house = (gap <= 3) & num[first] & ~point & (cap[second] | ((length[second] >= 3) & np.isin(one[second] << 8 | two[second], _STREET_KEYS)))
     place = (gap <= 3) & num[second] & ~num[first] & ~point & ((upper[s[first]] & (length[first] >= 4)) | ((one[first] == 110) & (length[first] == 3)))
     number = point & (gap <= 3) & num[second] & (one[first] == 110) & (length[first] == 3)
     title = (gap <= 2) & cap[second] & (one[first] == 115) & (length[first] >= 4)

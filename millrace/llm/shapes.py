@@ -30,7 +30,7 @@ PHONE_FORMS = [
     r"\(#{3}\) ?#{3}[- ]{0,2}#{4}",
     r"\(#{5}\) ?#{3} ?#{3}",
     r"\(# ?#{2}\) ?#{2} ?#{3} ?#{3}",
-    r"#{3}/#{5} ?#{3}",
+    r"#{3}/ ?#{5} ?#{3}",
     r"#{3}-#{8}",
     r"#{3}[ -]#{4}[ -]#{4}",
     r"#{5} #{6}",
@@ -54,13 +54,17 @@ ID_FORMS = [
 ID = re.compile("|".join(f"(?:{_spaced(p)})" for p in ID_FORMS).replace(r"([-. ]) ?", r"[-. ]{1,2}").replace(r"\1 ?", r"[-. ]{1,2}"))
 
 _CUT = r"(?<![\w])"
+EXCHANGE = re.compile(_spaced(rf"{_CUT}[A-Z][a-zſ][\wſ]+ (?:#{{2}}-#{{2}}|#{{3,4}})(?!\w|-)"))
 PHONE_CUE = re.compile(r"(?:T[eéc]l[eéc]?(?:ph[o0][nu][ec]|f[o0]n[o0])?|[Pp]h[o0]n[ec]|R[il1í]ng|C[ao]l[l1]|[EF]nqu[il1]r[il1]es|Fernruf|Fernr|Ausk[un]nft [un]n?te?r|unter|Apparat|A?llamar|Llame)(?:\.|:|,)? ?[\"'(\[]?$")
 ID_CUE = re.compile(
     r"(?:Passp[o0]r[tf]|Pa(?:ß|B|ss)|c[ao]rd(?: N[o0]\.)?|[Cc][éeè]d[uo]la (?:n[úuù]m)?\.?|Ausw[ec]is N[rvn]?\.?|id[ec]ntit[éec]r? ?n?[°o0]?|s[ec]cur[il1]ty n[uon]m?[bhl]?[ec]?[rv]|numb[ec][rv]|ins[uon]ran[cec][ec] n[o0]\.)\.? ?[\"'(\[]?$", re.I
 )
-NUMBER_CUE = re.compile(r"(?:[QO]r(?:d|cl)[ec][rv] N[o0]|[EF]ng[il1]n[ec] N[o0]|R[ec]f|[1IlL][5S]{2}N|d[ao]t[ec]d|B[o0]x|L[o0]t|N[o0]\.?|R[ec]gel|rul[ec])\.? ?[\"'(\[]?$", re.I)
+_LABELS = r"[QO]r(?:d|cl)[ec][rv] N[o0]|[EF]ng[il1]n[ec] N[o0]|R[ec]f|[1IlL][5S]{2}N|d[ao]t[ec]d|B[o0]x|L[o0]t|R[ec]g[ec]l|rul[ec]"
+#: Labels of other numbers; for teaching, a bare No. counts as one too.
+OTHER_CUE = re.compile(rf"(?:{_LABELS})\.? ?[\"'(\[]?$", re.I)
+NUMBER_CUE = re.compile(rf"(?:{_LABELS}|N[o0]\.?)\.? ?[\"'(\[]?$", re.I)
 
-EMAIL = re.compile(r"[\w.+\-]+ ?(?:[@©®]|\((?:at|af|a|nt)\)|\[at\]|(?<=\w) (?:at|nt|af)(?= \w+ d[o0][tf] ))[ ]?\w[\w\-]*(?: ?\. ?\w+| d[o0][tf] \w+){1,3}", re.I)
+EMAIL = re.compile(r"(?:(?<![\w.])\w\. |[\w.+\-]+_ )?[\w.+\-]+ ?(?:[@©®]|\((?:at|af|a|nt)\)|\[at\]|(?<=\w) (?:at|nt|af)(?= \w+ d[o0][tf] ))[ ]?\w[\w\-]*(?: ?\. ?\w+| d[o0][tf] \w+){1,3}", re.I)
 #: The last parts and middle parts of the addresses' domains.
 LAST_PARTS, MIDDLE_PARTS = ("example", "invalid", "test"), ("mail", "post")
 
@@ -69,14 +73,14 @@ _CAP = r"[A-ZÄÖÜ][\wſ'éèäöüß]+"
 #: Words for streets.
 STREET_WORDS = r"(?:St?re+[eoc][tf]|5treet|[A-Za-z]treet|Stv?r?eet|St\b|Road|Rd\b|Lan[eco]|Aven?ue|Avenu[ce]|Ave\b|T[ec]rr[ao]c[ec]|Sq(?:uare)?\b|Plac[eco]|Cr[ec]sc[ec]nt|C[o0][uon][rv]t|R[o0]w\b|Gardens|Walk\b|Close\b|Drive|Hill\b|Green\b|St\.|Rd\.|Ave\.|Sq\.|Pl\.|STREET|ROAD|LANE|AVENUE|TERRACE|SQUARE|PLACE|CRESCENT|COURT|ROW)"
 STREET_EN = re.compile(_spaced(rf"{_CUT}{_HOUSE},? (?:{_CAP} )?{_CAP} (?:(?:St|5t|Sf|Rd|Rcl|Ave|Avc|Sq|Pl|ST|RD|AVE|SQ)\.|{STREET_WORDS})"))
-STREET_DE = re.compile(_spaced(rf"{_CUT}[A-ZÄÖÜ][\wäöüßſ]+(?:[sſ]tra(?:ß|B|ss)[ec]|gass[ec]|ga[sſ]{{2}}[ec]|p[l1]at[zx]|w[ec]g|all[ec]{{2}}|damm|ufer|ring) {_HOUSE}"))
-STREET_FR = re.compile(_spaced(rf"{_CUT}{_HOUSE},? (?:r[uon][ec]|[ao]v[ec]n[uon][ec]|place|quai|chemin|boulevard) (?:d[ue]s? |de la |de l')?(?:{_CAP} )?{_CAP}"))
-STREET_ES = re.compile(_spaced(rf"{_CUT}(?:C[ao]l[l1][ec]|P[l1]a[zx]a|Paseo|Avenida|Camino) (?:d[ec]l? |d[ec] la )?{_CAP} (?:n[úuùíi]m[.,]? )?{_HOUSE}"))
+STREET_DE = re.compile(_spaced(rf"{_CUT}[A-ZÄÖÜ][\wäöüßſ]+(?:[sſ]tra(?:ß|B|ss)[ec]|gass[ec]|ga[sſ]{{2}}[ec]|p[l1]at[zx]|w[ec]g|all[ec]{{2}}|damm|ufer|ring|[sſ]t[rv]\.) {_HOUSE}|{_CUT}(?:A[mn]|Im|Auf|Zu[mr]|Hinter|Unter|Bei) (?:d[ec][rmn] )?(?:{_CAP} )?{_CAP} {_HOUSE}"))
+STREET_FR = re.compile(_spaced(rf"{_CUT}{_HOUSE},? (?:r[uon][ec]|[ao]v[ec]n[uon][ec]|place|qua[il1]|ch[ec]m[il1]n|boulevard|[il1]mpass[ec]|ruelle|all[ée]e|cours|passage|sentier|route) (?:d[ue]s? |de la |de l')?(?:{_CAP} )?{_CAP}"))
+STREET_ES = re.compile(_spaced(rf"{_CUT}(?:C[ao]l[l1][ec]|P[l1]a[zx]a|Paseo|Av[ec]nida|Camino|Callejón|Travesía|Ronda|Cuesta) (?:d[ec]l? |d[ec] la |d[ec] los |d[ec] las )?{_CAP} (?:n[úuùíi]m[.,]? )?{_HOUSE}"))
 STREETS = (STREET_EN, STREET_DE, STREET_FR, STREET_ES)
 
 #: Titles before a surname, as scans give them.
 TITLES = r"(?:Mr|Mvs|Mrs|Mrſ|Mr5|rs|Mv|Miss|Mi[sſ]{2}|Dr|Dv|Sir|Siv|Ald|A1d|Alcl|Rev|Rcv|Rov|Capt|Capf|Cnpt|Col|Prof|Mme|Mrne|Mlle|Herr|Hcrr|Hevr|Frau|Fran|Frnu|Don|D0n|Doña|[Ss]eñor(?:a|ita)?|sefior|señ0r|scñor|señov|Lord|Lady|Major|Hon|Cllr)"
-_TITLE = re.compile(rf"{_CUT}{TITLES}\.?,? $")
+_TITLE = re.compile(rf"{_CUT}{TITLES}\.?,? [\"'(\[]?$")
 _FIRM_AFTER = re.compile(r"^(?:[,.]? ?&|[,.]? (?:and|und|et|y) (?:S[o0]ns|Söhne|Fils|Hijos|C[o0])\b| Br[o0]th| Bro| Hal|[ -]H[ao][l1]| Works| W[o0]rks| (?:Upper |Old )?" + STREET_WORDS + r"| Cup\b| [Bb]and\b| (?:c|C)ompany|['’]s (?:oats|linen|apples|cheese|candles|harness|flannel|herring|lamp|pit|best|seed|roof|barley))")
 
 
@@ -102,12 +106,12 @@ def email_end(piece: str) -> int | None:
     """Where the address in a match of EMAIL ends: behind a last part of a domain; None if there is none."""
     at = re.search(r"[@©®]|[(\[]\w+[)\]]| (?:at|nt|af) ", piece, re.I)
     end = None
-    for m in re.finditer(r"(?:(?:^| ?\. ?)|(?: d[o0][tf] ))?(\w+)", piece[at.end() :], re.I):
+    for i, m in enumerate(re.finditer(r"(?: ?\. ?| d[o0][tf] )?(\w[\w\-]*)", piece[at.end() :], re.I)):
         word = m.group(1).lower()
-        if any(near(word, p, 2 if len(p) > 5 else 1) for p in LAST_PARTS):
+        if i and any(near(word, p, 2 if len(p) > 5 else 1) for p in LAST_PARTS):
             end = at.end() + m.end()
             break
-        if m.start() > 0 and not any(near(word, p, 1) for p in MIDDLE_PARTS):
+        if i and not any(near(word, p, 1) for p in MIDDLE_PARTS):
             break
     return end
 
@@ -222,11 +226,11 @@ def names(view: str, lexicon: Names) -> list[tuple[int, int]]:
             first -= 1
         start, end = tokens[first][1], tokens[last][2]
         letter = kinds[first] == "I" and tokens[first][0] == "M" and first == i - 1
-        if letter and re.match(r" [ao0] |,", view[end : end + 3]):
+        if letter and re.match(r" [ano0àd] |,", view[end : end + 3]):
             start, first = tokens[i][1], i  # M. is Monsieur here
             titled = True
         else:
-            titled = bool(_TITLE.search(view, max(0, start - 12), start)) if first == i else False
+            titled = bool(_TITLE.search(view[max(0, start - 13) : start])) if first == i else False
         after = view[end : end + 16]
         if first < i or titled:
             if not (_FIRM_AFTER.match(after) and not (titled or first < i)) and not after.startswith((" &", " Brothers")):
@@ -262,6 +266,9 @@ def label(view: str, lexicon: Names) -> tuple[list[tuple[int, int, int]], list[t
             spans.append((a, b, kind))
 
     for a, b in emails(view):
+        first = re.search(r"(?<![\w.])([A-Za-z]{3,})\. $", view[max(0, a - 14) : a])
+        if first and first.group(1)[-2:].isupper() == view[a : a + 2].isupper() and lexicon.is_("given", first.group(1)):
+            a -= len(first.group())  # the line broke behind the point
         put(a, b, 1)
     for m in re.finditer("[@©®]|\\(at\\)", view):
         follows = view[m.end() : m.end() + 4].strip()
@@ -290,7 +297,7 @@ def label(view: str, lexicon: Names) -> tuple[list[tuple[int, int, int]], list[t
             put(a, b, 2)
         elif re.fullmatch(r"\d{4}-\d{4}", piece) is None:
             unsure.append((a, b))
-    for m in re.finditer(rf"{_CUT}([A-Z][a-zſ]+) {_spaced('#{2}-#{2}|#{3,4}')}(?!\w|-)", view):
+    for m in EXCHANGE.finditer(view):
         if PHONE_CUE.search(view[max(0, m.start() - 20) : m.start()]) and digits(m.group()) >= 2:
             put(m.start(), m.end(), 2)
     for a, b in names(view, lexicon):

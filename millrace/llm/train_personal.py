@@ -6,7 +6,7 @@ reads documents and known_name of the directory. Labelled spans come from shapes
 and cues (shapes.label) on the first PAGES pages by id, a documented bound; a
 second copy of each window that holds a span gets more misread, lost and added
 signs, with the labels kept, so that the tagger also knows spans that no shape
-fits any more. Windows of whose labels the shapes aren't sure are left out. Pages
+fits any more; some windows with names come in capitals too. Windows of whose labels the shapes aren't sure are left out. Pages
 whose id is divisible by HELD_OUT are kept out and give the accuracy.
 """
 
@@ -21,7 +21,9 @@ import pyarrow.parquet as pq
 from millrace.llm import pages, shapes
 from millrace.llm.tagger import Tagger
 
-PAGES, HELD_OUT, HIDDEN, EPOCHS = 6000, 11, 32, 9
+PAGES, HELD_OUT, HIDDEN, EPOCHS = 8000, 11, 40, 12
+#: Share of windows with names that come in capitals too.
+CAPITALS = 0.4
 
 #: How scans misread signs.
 MISREAD = {
@@ -71,6 +73,11 @@ def samples(texts: list[str], lexicon: shapes.Names, spoilt: float, seed: int =
                 worse, kept = spoil(view[a:b], tags[a:b], spoilt * rng.random(), rng)
                 if worse:
                     out.append((pages.encode(pages.points(worse)).astype(np.int64), kept.astype(np.int64)))
+                if (tags[a:b] == 5).any() and rng.random() < CAPITALS:
+                    # names, or whole lines, in capitals are rare but there
+                    whole = rng.random() < 0.3
+                    loud = "".join(c.upper() if (whole or t == 5) and len(c.upper()) == 1 else c for c, t in zip(view[a:b], tags[a:b], strict=True))
+                    out.append((pages.encode(pages.points(loud)).astype(np.int64), tags[a:b].astype(np.int64)))
     return out
 
 
