@@ -123,7 +123,9 @@ class Predicates:
         if {fa, fb} == {"time", "string"} and any(isinstance(x, ast.Literal) for x in (left, right)):
             fb = fa  # a time against a time written as a string
         if fa != fb or (fa == "boolean" and op not in ("=", "!=")):
-            return F.lit(False)
+            # two nulls are equal whatever their types
+            columns = isinstance(left, ast.Name) and isinstance(right, ast.Name)
+            return a.isNull() & b.isNull() if op == "=" and columns else F.lit(False)
         if op == "=":
             plain = isinstance(left, ast.Literal) or isinstance(right, ast.Literal)
             return a == b if plain else a.eqNullSafe(b)
