@@ -1,6 +1,9 @@
 """Millrace: relational queries and versioned key-value data on Spark DataFrames."""
 
-from millrace.errors import (
+#: Of the commit files of versioned tables.
+FORMAT_VERSION = 1
+
+from millrace.errors import (  # noqa: E402
     ConflictError,
     CorruptionError,
     InvalidInput,
@@ -11,6 +14,7 @@ from millrace.errors import (
 )
 
 __all__ = [
+    "FORMAT_VERSION",
     "ConflictError",
     "CorruptionError",
     "InvalidInput",
@@ -19,5 +23,3 @@ __all__ = [
     "NotFound",
     "TransactionError",
 ]
-
-FORMAT_VERSION = 1

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from millrace.operators import backup, index, kv, mvcc, wal
+from millrace.operators import backup, compaction, index, kv, mvcc, wal
+from millrace.operators.changefeed import ChangeFeedTable, log_kind
+from millrace.functions.text import folded
 from millrace.plans import compile_query, parse
 from millrace.session import fresh_path
 from millrace.sources.tables import load, write_sorted
 from millrace.sources.versioned import VersionedTable
+from millrace.streaming.changelog import keep_current
 
 STAR = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
@@ -287,8 +290,6 @@ done as (select distinct tx_id from log where op = 'commit' and tx_id is not nul
 
 def _wal(spark, d):
     """The log of all databases in the form of the operators; repeated records are one."""
-    from millrace.operators.changefeed import log_kind
-
     rows = load(spark, d, "wal_entry").dropDuplicates(["db_name", "seq"])
     names = {"put": "put", "delete": "delete", "begintx": "begin", "committx": "commit", "checkpoint": "checkpoint"}
     op = F.coalesce(*[F.when(log_kind(k), F.lit(v)) for k, v in names.items()])
@@ -323,10 +324,9 @@ def wal_stats(spark, d):
 def wal_intact(spark, d):
     """A log whose last record is damaged: the replay ends before it."""
     log = _wal(spark, d)
-    last = log.agg(F.max("seq").alias("last"))
-    sealed = wal.sealed(log).crossJoin(F.broadcast(last))
-    broken = sealed.withColumn("crc", F.when(F.col("seq") == F.col("last"), F.col("crc") + 1).otherwise(F.col("crc")))
-    return wal.intact(broken.drop("last")).select("seq", "op")
+    last = log.agg(F.max("seq")).first()[0]
+    broken = wal.sealed(log).withColumn("crc", F.when(F.col("seq") == F.lit(last), F.col("crc") + 1).otherwise(F.col("crc")))
+    return wal.intact(broken).select("seq", "op")
 
 
 @_query("select min(path) as oldest, max(path) as latest, count(*) as segments, cast(sum(size) as bigint) as total_size from segment_info")
@@ -334,6 +334,34 @@ def wal_segments(spark, d):
     return wal.segments(load(spark, d, "segment_info").withColumnRenamed("size", "length"))
 
 
+@_query("select path, db_name from segment_info where sequence < (select max(sequence) from segment_info where sequence <= 19920001000)")
+def wal_obsolete(spark, d):
+    """Segments that may be cleaned up before a sequence."""
+    return wal.obsolete(load(spark, d, "segment_info"), 19920001000).select("path", "db_name")
+
+
+@_query(
+    """with listed as (
+  select * from (select db_name, array_to_string(list_filter(string_split(replace(path, '\\', '/'), '/'), lambda x: x <> '' and x <> '.'), '/') as plain, sequence, lower(trim(record_type)) as kind, level, file_size, entry_count from manifest_sstable)
+  qualify row_number() over (partition by db_name, plain order by sequence desc) = 1)
+select level, count(*) as files, cast(sum(file_size) as bigint) as total_size, cast(sum(entry_count) as bigint) as entries from listed where kind in ('addsstable', 'add_sstable') group by level"""
+)
+def kv_manifest_levels(spark, d):
+    """Files and sizes of each level, as the manifest lists them now."""
+    return compaction.levels(load(spark, d, "manifest_sstable"))
+
+
+@_query(f"with {_NEWEST} select user_id, props from newest where not gone")
+def stream_latest(spark, d):
+    """The events as a stream of changes, applied batch by batch to a change feed table."""
+    schema = load(spark, d, "events").schema
+    events = spark.readStream.schema(schema).parquet(f"{d}/events.parquet*")
+    changes = events.select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("eff"), F.col("event_id").alias("tie"), (F.col("event_type") != "error").alias("live"), "props")
+    table = ChangeFeedTable(spark, fresh_path(spark, "stream"), ["user_id"], ["props"])
+    keep_current(changes, table, fresh_path(spark, "stream-progress")).awaitTermination()
+    return table.current().select("user_id", "props")
+
+
 # ---- snapshots
 
 
@@ -356,8 +384,6 @@ select id, db_name from o where not coalesce(case when first then kind = 'full'
 )
 def snap_chain_valid(spark, d):
     """Snapshots that break the chain of their database."""
-    from millrace.functions.text import folded
-
     newest = load(spark, d, "snapshot_meta").select(
         folded(F.col("id")).alias("id"), F.struct("listed_at", "sequence", "db_name", folded(F.col("snapshot_type")).alias("snapshot_type"), folded(F.col("parent_id")).alias("parent_id")).alias("row")
     ).groupBy("id").agg(F.max("row").alias("row")).select("id", "row.*")

@@ -70,7 +70,7 @@ class _State:
             f"QUALIFY row_number() OVER (PARTITION BY {key} ORDER BY eff DESC, tie DESC, live DESC{tail}) = 1 "
             f"ON CONFLICT ({key}) DO UPDATE SET " + ", ".join(f'"{x}" = excluded."{x}"' for x in rest) + f" WHERE {later}"
         )
-        self.db = duckdb.connect(":memory:", config={"threads": 1, "preserve_insertion_order": False})
+        self.db = duckdb.connect(":memory:", config={"threads": 1, "preserve_insertion_order": False, "memory_limit": "1GB"})
         self.db.execute(self.create)
 
     def add(self, batch: pa.RecordBatch) -> None:

@@ -14,7 +14,7 @@ target size, so a task that rewrites it holds one open file and no group.
 Defined results: a file is listed if its manifest row with the greatest sequence
 is an add (repeated rows agree; rows without path or sequence don't count) and
 that row gives level and size; negative sizes count as 0; records with a null key
-are kept; the same record (database, level, key, sequence) in several files comes
+are kept, records and files without database are not; the same record (database, level, key, sequence) in several files comes
 out once, with the least (entry_type, value); a level without target has no
 small files; a listed file without records adds nothing.
 """
@@ -53,6 +53,11 @@ def listed_files(manifest: DataFrame) -> DataFrame:
     )
 
 
+def levels(manifest: DataFrame) -> DataFrame:
+    """(level, files, total_size, entries) of what the manifest lists."""
+    return listed_files(manifest).groupBy("level").agg(F.count("*").alias("files"), F.sum("file_size").alias("total_size"), F.sum("entry_count").alias("entries"))
+
+
 def small_files(manifest: DataFrame, targets: DataFrame) -> DataFrame:
     """Listed files below their level's target, with that target."""
     known = listed_files(manifest).filter(F.col("level").isNotNull() & F.col("file_size").isNotNull())

@@ -17,7 +17,8 @@ and depth are at hand, and paths are made by doubling too.
 
 Defined results: ids are folded (lower case, outer white space off); rows without
 id are no nodes; of several rows of an id the one listed last counts, at equal
-times the one with the greater sequence, then the greater parent; a parent that
+times (no time is the earliest) the one with the greater sequence, then the greater
+parent; other columns are ignored; repeated rows change nothing; a parent that
 is null, blank or not in the table makes a root; a node that is its own parent is
 a loop of one. On loops depth is -1, for nodes that lead into one it is -2, and
 the root is the loop's least id.

@@ -19,7 +19,8 @@ each size), the greatest start of each block is kept, and a record looks up the
 blocks that hold its sequence.
 
 Defined results: a run counts by its row with the latest logged_at (at equal
-times the greatest status as text); a run without bounds or start covers nothing;
+times the greatest status as text); rows without run_id are of no run; a run without
+bounds or start covers nothing;
 records without database or sequence are left out; repeated rows are one version.
 """
 
@@ -54,7 +55,7 @@ def versions(table: DataFrame, source: str, listed: str = "listed_at") -> DataFr
 def successful_runs(runs: DataFrame) -> DataFrame:
     """(run_id, source_table, db_name, from_sequence, to_sequence, started_at) of runs whose last row says success."""
     columns = ["source_table", "db_name", "from_sequence", "to_sequence", "started_at"]
-    last = runs.groupBy("run_id").agg(F.max(F.struct("logged_at", folded(F.col("status")).alias("state"), *columns)).alias("row"))
+    last = runs.filter(F.col("run_id").isNotNull()).groupBy("run_id").agg(F.max(F.struct("logged_at", folded(F.col("status")).alias("state"), *columns)).alias("row"))
     return last.filter("row.state = 'success'").select("run_id", *[f"row.{c}" for c in columns]).dropna(subset=columns)
 
 

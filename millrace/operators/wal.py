@@ -30,9 +30,12 @@ def sealed(log: DataFrame) -> DataFrame:
 
 
 def intact(log: DataFrame) -> DataFrame:
-    """The records before the first whose checksum doesn't fit. Its place is one number, found by an aggregate."""
-    broken = log.filter(~F.col("crc").eqNullSafe(checksum())).agg(F.min("seq").alias("_end"))
-    return log.join(F.broadcast(broken), F.col("_end").isNull() | (F.col("seq") < F.col("_end"))).drop("_end")  # one row
+    """The records before the first whose checksum doesn't fit.
+
+    Its place is one number; it is found first, so that the filter reaches the scan.
+    """
+    end = log.filter(~F.col("crc").eqNullSafe(checksum())).agg(F.min("seq")).first()[0]
+    return log if end is None else log.filter(F.col("seq") < F.lit(end))
 
 
 def committed(log: DataFrame) -> DataFrame:
@@ -77,3 +80,9 @@ def stats(log: DataFrame) -> DataFrame:
 def segments(files: DataFrame) -> DataFrame:
     """(segments, total_size, oldest, latest) of log files (path, length), as the binaryFile source lists them."""
     return files.agg(F.count("*").alias("segments"), F.sum("length").alias("total_size"), F.min("path").alias("oldest"), F.max("path").alias("latest"))
+
+
+def obsolete(files: DataFrame, before: int) -> DataFrame:
+    """Segments (path, sequence, ...) that hold only records before `before`: all but the last that starts at or before it."""
+    needed = files.filter(F.col("sequence") <= F.lit(before)).agg(F.max("sequence")).first()[0]
+    return files.filter(F.lit(False)) if needed is None else files.filter(F.col("sequence") < F.lit(needed))

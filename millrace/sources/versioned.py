@@ -12,7 +12,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.errors import ConflictError, NotFound
+from millrace import FORMAT_VERSION
+from millrace.errors import ConflictError, CorruptionError, NotFound
 from millrace.session import Files
 
 
@@ -29,7 +30,12 @@ class VersionedTable:
 
     def head(self) -> dict | None:
         names = [x for x in self.files.names(f"{self.root}/_commits") if not x.startswith(".") and x.endswith(".json")]
-        return json.loads(self.files.read(f"{self.root}/_commits/{names[-1]}")) if names else None
+        if not names:
+            return None
+        entry = json.loads(self.files.read(f"{self.root}/_commits/{names[-1]}"))
+        if entry.get("format", 0) > FORMAT_VERSION:
+            raise CorruptionError(f"{self.root} has format {entry['format']}, newer than {FORMAT_VERSION}")
+        return entry
 
     def new_folder(self) -> str:
         return f"{self.root}/data-{uuid.uuid4().hex}"
@@ -37,7 +43,7 @@ class VersionedTable:
     def commit(self, folder: str, onto: dict | None, **facts) -> dict:
         """Publishes a written folder as the version after `onto`."""
         number = 1 if onto is None else onto["version"] + 1
-        entry = {"version": number, "folder": folder, **facts}
+        entry = {"format": FORMAT_VERSION, "version": number, "folder": folder, **facts}
         if not self.files.publish(json.dumps(entry), f"{self.root}/_commits/{number:012d}.json"):
             raise ConflictError(f"version {number} was committed by another writer")
         return entry
