@@ -81,6 +81,8 @@ STREETS = (STREET_EN, STREET_DE, STREET_FR, STREET_ES)
 #: Titles before a surname, as scans give them.
 TITLES = r"(?:Mr|Mvs|Mrs|Mrſ|Mr5|rs|Mv|Miss|Mi[sſ]{2}|Dr|Dv|Sir|Siv|Ald|A1d|Alcl|Rev|Rcv|Rov|Capt|Capf|Cnpt|Col|Prof|Mme|Mrne|Mlle|Herr|Hcrr|Hevr|Frau|Fran|Frnu|Don|D0n|Doña|[Ss]eñor(?:a|ita)?|sefior|señ0r|scñor|señov|Lord|Lady|Major|Hon|Cllr)"
 _TITLE = re.compile(rf"{_CUT}{TITLES}\.?,? [\"'(\[]?$")
+#: What only follows a titled surname; the title itself may stand lines above when columns were read across.
+PERSON_AFTER = re.compile(r"['’]s? ?h[o0][rv]s[ec] t[o0]|, [o0]f \w+, s[ec]c[o0]|,? m[o0]v[ec]d [tf]h[ec] v| [a-z] pr[il1]s la pa| t[o0]m[óo] la pa")
 _FIRM_AFTER = re.compile(r"^(?:[,.]? ?&|[,.]? (?:and|und|et|y) (?:S[o0]ns|Söhne|Fils|Hijos|C[o0])\b| Br[o0]th| Bro| Hal|[ -]H[ao][l1]| Works| W[o0]rks| (?:Upper |Old )?" + STREET_WORDS + r"| Cup\b| [Bb]and\b| (?:c|C)ompany|['’]s (?:oats|linen|apples|cheese|candles|harness|flannel|herring|lamp|pit|best|seed|roof|barley))")
 
 
@@ -230,7 +232,7 @@ def names(view: str, lexicon: Names) -> list[tuple[int, int]]:
             start, first = tokens[i][1], i  # M. is Monsieur here
             titled = True
         else:
-            titled = bool(_TITLE.search(view[max(0, start - 13) : start])) if first == i else False
+            titled = first == i and bool(_TITLE.search(view[max(0, start - 13) : start]) or PERSON_AFTER.match(view[end : end + 30]))
         after = view[end : end + 16]
         if first < i or titled:
             if not (_FIRM_AFTER.match(after) and not (titled or first < i)) and not after.startswith((" &", " Brothers")):
@@ -239,8 +241,8 @@ def names(view: str, lexicon: Names) -> list[tuple[int, int]]:
             continue
         # surname first
         nxt = last + 1
-        if nxt < len(tokens) and kinds[nxt] == "G" and view[tokens[last][2] : tokens[nxt][1]] in (", ", ","):
-            end = tokens[nxt][2]
+        if nxt < len(tokens) and kinds[nxt] in "GI" and view[tokens[last][2] : tokens[nxt][1]] in (", ", ","):
+            end = tokens[nxt][2] + (kinds[nxt] == "I" and view[tokens[nxt][2] : tokens[nxt][2] + 1] == ".")
             nxt += 1
             while nxt < len(tokens) and kinds[nxt] == "I" and view[tokens[nxt - 1][2] : tokens[nxt][1]] in (" ", ". "):
                 end = tokens[nxt][2] + (view[tokens[nxt][2] : tokens[nxt][2] + 1] == ".")

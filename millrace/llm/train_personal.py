@@ -21,7 +21,7 @@ import pyarrow.parquet as pq
 from millrace.llm import pages, shapes
 from millrace.llm.tagger import Tagger
 
-PAGES, HELD_OUT, HIDDEN, EPOCHS = 8000, 11, 40, 12
+PAGES, HELD_OUT, HIDDEN, EPOCHS = 9000, 11, 40, 12
 #: Share of windows with names that come in capitals too.
 CAPITALS = 0.4
 
