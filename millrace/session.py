@@ -61,9 +61,9 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors, once a context; in local mode they have it."""
+    """Sends this package to the Python workers, once a context; in local mode too, as their path may differ from the driver's."""
     context = spark.sparkContext
-    if is_local(spark) or getattr(context, "_millrace_shipped", False):
+    if getattr(context, "_millrace_shipped", False):
         return
     root = Path(__file__).resolve().parent
     target = os.path.join(tempfile.mkdtemp(prefix="millrace-ship-"), "millrace_package.zip")
