@@ -203,12 +203,12 @@ def index_find(spark, d):
     return index.find(_index(spark, d), "Brand#12")
 
 
-@_query("select p_brand as key, list(p_partkey order by p_partkey) as row_ids from part where p_brand between 'Brand#12' and 'Brand#33' group by 1")
+@_query("select p_brand as key, p_partkey as row_id from part where p_brand between 'Brand#12' and 'Brand#33'")
 def index_range(spark, d):
     return index.search(_index(spark, d), "Brand#12", "Brand#33")
 
 
-@_query("select p_brand as key, list(p_partkey order by p_partkey) as row_ids from part where starts_with(p_brand, 'Brand#2') group by 1")
+@_query("select p_brand as key, p_partkey as row_id from part where starts_with(p_brand, 'Brand#2')")
 def index_prefix(spark, d):
     return index.prefixed(_index(spark, d), "Brand#2")
 

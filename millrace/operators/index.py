@@ -28,17 +28,19 @@ def find(index: DataFrame, key) -> DataFrame:
 
 
 def search(index: DataFrame, low, high) -> DataFrame:
-    """(key, row_ids) with low <= key <= high, in key order."""
-    return _listed(index.filter(F.col("key").between(low, high)))
+    """(key, row_id) with low <= key <= high, in the order of keys, then of insertion.
+
+    A row an entry and not a list a key: one key may hold a large part of an index.
+    """
+    return _ordered(index.filter(F.col("key").between(low, high)))
 
 
 def prefixed(index: DataFrame, prefix) -> DataFrame:
-    return _listed(index.filter(F.startswith(F.col("key"), F.lit(prefix))))
+    return _ordered(index.filter(F.startswith(F.col("key"), F.lit(prefix))))
 
 
-def _listed(rows: DataFrame) -> DataFrame:
-    ids = F.transform(F.sort_array(F.collect_list(F.struct("seq", "row_id"))), lambda x: x["row_id"])
-    return rows.groupBy("key").agg(ids.alias("row_ids")).orderBy("key")
+def _ordered(rows: DataFrame) -> DataFrame:
+    return rows.orderBy("key", "seq", "row_id").select("key", "row_id")
 
 
 def bounds(index: DataFrame) -> DataFrame:

@@ -66,7 +66,7 @@ def test_indexes(spark):
     for key, row in ((b"b", 2), (b"a", 1), (b"b", 1), (b"c", 3), (b"b", 2)):
         db.indexes.insert("names", key, row)
     assert [r.row_id for r in db.indexes.find("names", b"b").collect()] == [2, 1, 2]
-    assert [(bytes(r.key), r.row_ids) for r in db.indexes.range("names", b"a", b"b").collect()] == [(b"a", [1]), (b"b", [2, 1, 2])]
+    assert [(bytes(r.key), r.row_id) for r in db.indexes.range("names", b"a", b"b").collect()] == [(b"a", 1), (b"b", 2), (b"b", 1), (b"b", 2)]
     assert db.indexes.remove("names", b"b") and not db.indexes.remove("names", b"b")
     db.indexes.insert("names", b"b", 9)
     assert [r.row_id for r in db.indexes.find("names", b"b").collect()] == [9]
