@@ -22,6 +22,8 @@ from millrace.llm import pages, shapes
 from millrace.llm.tagger import Tagger
 
 PAGES, HELD_OUT, HIDDEN, EPOCHS = 9000, 11, 40, 12
+#: Spoilt copies of windows with rare forms.
+RARE = 4
 #: Share of windows with names that come in capitals too.
 CAPITALS = 0.4
 
@@ -51,6 +53,12 @@ def spoil(view: str, tags: np.ndarray, rate: float, rng: np.random.Generator) ->
     return "".join(out), np.array(kept, np.int8)
 
 
+def _rare(view: str, tags: np.ndarray) -> bool:
+    """Whether the piece has a street that isn't English, or an exchange by name."""
+    found = "".join(c if t in (2, 4) else " " for c, t in zip(view, tags, strict=True))
+    return any(shape.search(found) for shape in (*shapes.STREETS[1:], shapes.EXCHANGE))
+
+
 def samples(texts: list[str], lexicon: shapes.Names, spoilt: float, seed: int = 5) -> list[tuple[np.ndarray, np.ndarray]]:
     """Windows (signs, tags) of pages."""
     rng, out = np.random.default_rng(seed), []
@@ -70,9 +78,10 @@ def samples(texts: list[str], lexicon: shapes.Names, spoilt: float, seed: int =
                 continue
             out.append((pages.encode(codes[a:b]).astype(np.int64), tags[a:b].astype(np.int64)))
             if spoilt and tags[a:b].any():
-                worse, kept = spoil(view[a:b], tags[a:b], spoilt * rng.random(), rng)
-                if worse:
-                    out.append((pages.encode(pages.points(worse)).astype(np.int64), kept.astype(np.int64)))
+                for _ in range(RARE if _rare(view[a:b], tags[a:b]) else 1):
+                    worse, kept = spoil(view[a:b], tags[a:b], spoilt * rng.random(), rng)
+                    if worse:
+                        out.append((pages.encode(pages.points(worse)).astype(np.int64), kept.astype(np.int64)))
                 if (tags[a:b] == 5).any() and rng.random() < CAPITALS:
                     # names, or whole lines, in capitals are rare but there
                     whole = rng.random() < 0.3
