@@ -86,7 +86,7 @@ for _kind in ("inner", "left", "right", "full"):
 _dialect("join_theta", "SELECT s_suppkey, n_name FROM supplier INNER JOIN nation ON supplier.s_nationkey < nation.n_nationkey")
 _dialect("join_residual", "SELECT c_custkey, o_orderkey FROM customer LEFT JOIN orders ON customer.c_custkey = orders.o_custkey AND orders.o_totalprice > 300000")
 _dialect(
-    "join_chain",
+    "join_chain3",
     "SELECT r_name, COUNT(*) AS n, MAX(o_totalprice) AS largest FROM region JOIN nation ON nation.n_regionkey = region.r_regionkey JOIN customer ON nation.n_nationkey = customer.c_nationkey JOIN orders ON orders.o_custkey = customer.c_custkey GROUP BY r_name",
 )
 _dialect("join_cross", "SELECT r_name, n_name FROM region JOIN nation ON 1 = 1")
