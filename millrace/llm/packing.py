@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from millrace.session import materialize, ship
 
 #: Windows that a partition keeps open for each capacity.
-OPEN_WINDOWS = 128
+OPEN_WINDOWS = 1024
 #: Items without length that wait for a first full container.
 WAITING = 10_000
 #: Items that the last merge packs at once.
