@@ -68,7 +68,7 @@ EMAIL = re.compile(r"(?:(?<![\w.])\w\. |[\w.+\-]+_ )?[\w.+\-]+ ?(?:[@©®]|\((?:
 #: The last parts and middle parts of the addresses' domains.
 LAST_PARTS, MIDDLE_PARTS = ("example", "invalid", "test"), ("mail", "post")
 
-_HOUSE = r"(?=[\w]{0,3}[1-9])(?:#{1,3}[A-Za-z]?(?: ?- ?#{1,3})?[a-z]?)"
+_HOUSE = r"(?=\w{0,3}[1-9])(?:#{1,3}[A-Za-z]?(?: ?- ?#{1,3}[A-Za-z]?)?(?!\w))"
 _CAP = r"[A-ZÄÖÜ][\wſ'éèäöüß]+"
 #: Words for streets.
 STREET_WORDS = r"(?:St?re+[eoc][tf]|5treet|[A-Za-z]treet|Stv?r?eet|St\b|Road|Rd\b|Lan[eco]|Aven?ue|Avenu[ce]|Ave\b|T[ec]rr[ao]c[ec]|Sq(?:uare)?\b|Plac[eco]|Cr[ec]sc[ec]nt|C[o0][uon][rv]t|R[o0]w\b|Gardens|Walk\b|Close\b|Drive|Hill\b|Green\b|St\.|Rd\.|Ave\.|Sq\.|Pl\.|STREET|ROAD|LANE|AVENUE|TERRACE|SQUARE|PLACE|CRESCENT|COURT|ROW)"
