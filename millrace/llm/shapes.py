@@ -86,6 +86,9 @@ PERSON_AFTER = re.compile(r"['’]s? ?h[o0][rv]s[ec] t[o0]|, [o0]f \w+, s[ec]c[o
 _FIRM_AFTER = re.compile(r"^(?:[,.]? ?&|[,.]? (?:and|und|et|y) (?:S[o0]ns|Söhne|Fils|Hijos|C[o0])\b| Br[o0]th| Bro| Hal|[ -]H[ao][l1]| Works| W[o0]rks| (?:Upper |Old )?" + STREET_WORDS + r"| Cup\b| [Bb]and\b| (?:c|C)ompany|['’]s (?:oats|linen|apples|cheese|candles|harness|flannel|herring|lamp|pit|best|seed|roof|barley))")
 
 
+_NO_HOUSE_AFTER = re.compile(r" s[ce]h[ec]m|, [ao]n[dcl]+ \w|,? (?:has|hns|c[o0]uld|was|waited|w[ae]nt|met|gav[ec]|lost|carri|found|put|play|brought|drew|made|cost)\b")
+
+
 def digits(piece: str) -> int:
     return sum(c.isdigit() for c in piece)
 
@@ -277,7 +280,9 @@ def label(view: str, lexicon: Names) -> tuple[list[tuple[int, int, int]], list[t
         if not taken[m.start()] and not follows[:1].isdigit():
             unsure.append((m.start() - 10, m.end() + 10))
     for a, b in streets(view):
-        put(a, b, 4)
+        # a number that ends another clause, before a street without one
+        if not re.search(r" [T7][hb][ec] | T[HN]E ", view[a:b]) and not _NO_HOUSE_AFTER.match(view[b : b + 14]):
+            put(a, b, 4)
     for a, b in numbers(ID, view):
         before = view[max(0, a - 28) : a]
         piece = view[a:b]

@@ -43,14 +43,22 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 _BLOCKS = "block long, doc_ids array<long>, lengths array<int>, codes array<int>, words array<string>"
 
 
+def _ranks(directory: str, name: str) -> dict[bytes, int]:
+    path = os.path.join(directory, f"{name}.tiktoken")
+    if not os.path.exists(path):  # the package that holds the files may be elsewhere on this machine
+        import public_tokenizers
+
+        path = public_tokenizers.path(f"{name}.tiktoken")
+    with open(path, "rb") as file:
+        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
+
+
 @lru_cache(maxsize=4)
 def encoding(directory: str = TOKENIZERS, name: str = "byte_bpe_50k"):
     """The tokenizer, read from its file once a process."""
     import tiktoken
 
-    with open(os.path.join(directory, f"{name}.tiktoken"), "rb") as file:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
-    return tiktoken.Encoding(name, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding(name, pat_str=PATTERN, mergeable_ranks=_ranks(directory, name), special_tokens={})
 
 
 @lru_cache(maxsize=1)
@@ -151,8 +159,7 @@ def encode(documents: DataFrame, directory: str = TOKENIZERS, name: str = "byte_
 
 def pieces(spark, directory: str = TOKENIZERS, name: str = "byte_bpe_50k") -> DataFrame:
     """(id, piece): the bytes of each id; as many rows as the vocabulary has entries."""
-    with open(os.path.join(directory, f"{name}.tiktoken"), "rb") as file:
-        rows = [(int(b), bytearray(base64.b64decode(a))) for a, b in map(bytes.split, file)]
+    rows = [(number, bytearray(piece)) for piece, number in _ranks(directory, name).items()]
     return spark.createDataFrame(rows, "id int, piece binary")
 
 
