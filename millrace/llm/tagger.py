@@ -1,6 +1,6 @@
 """A character-level bidirectional LSTM with CRF transitions, in numpy.
 
-Signs come as small integers. Each direction has its own table of gate inputs by
+Signs come as small integers, 0 is padding behind a window. Each direction has its own table of gate inputs by
 sign and its own recurrent matrix; the two states of a position give the scores
 of the tags. The CRF lets a span of one kind touch the outside only: O to O, O to
 k, k to k and k to O have learned weights, other steps don't exist. Training
@@ -44,6 +44,8 @@ class Tagger:
         h, c = np.zeros((width, n), np.float32), np.zeros((width, n), np.float32)
         out = np.empty((steps, width, n), np.float32)
         z, g = np.empty((width, 4 * n), np.float32), np.empty((width, 4 * n), np.float32)
+        pads = x == 0
+        padded = pads.any(1) & (keep is None)
         for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
             before = c.copy() if keep is not None else None
             np.matmul(h, matrix, out=z)
@@ -59,6 +61,10 @@ class Tagger:
             if keep is not None:
                 keep.append((t, h, before, z.copy(), bent))
             h = z[:, 2 * n : 3 * n] * bent
+            if padded[t]:
+                # a window starts afresh at its own end, whatever it is batched with
+                h[pads[t]] = 0
+                c[pads[t]] = 0
             out[t] = h
         return out
 
@@ -78,14 +84,21 @@ class Tagger:
         from_o = np.empty((steps, width), np.int8)
         stays = np.empty((steps, self.kinds, width), bool)
         options = np.empty((self.kinds + 1, width), np.float32)
+        pads = x == 0
+        padded = pads.any(1)
         for t in range(1, steps):
             options[0] = best_o + quiet
             options[1:] = best_k + leave
             come, go = best_o + into, best_k + stay
             np.greater(go, come, out=stays[t])
             from_o[t] = options.argmax(0)
+            held_k, held_o = best_k, best_o
             best_k = np.maximum(come, go) + e[t, 1:]
             best_o = options.max(0) + e[t, 0]
+            if padded[t]:
+                m = pads[t]
+                best_k[:, m], best_o[m] = held_k[:, m], held_o[m]
+                stays[t][:, m], from_o[t][m] = True, 0
         tags = np.empty((steps, width), np.int8)
         options[0], options[1:] = best_o, best_k
         tag = options.argmax(0).astype(np.int64)

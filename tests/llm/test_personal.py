@@ -54,10 +54,9 @@ def test_redaction_keeps_the_rest(spark):
     assert personal.find_personal(df.limit(0)).count() == 0
 
 
-def test_chunks_don_t_change_the_result(tagger, monkeypatch):
-    texts = [c[0] for c in CASES] * 3
-    whole = personal.spans(tagger, texts)
-    assert whole == [s for t in texts for s in personal.spans(tagger, [t])]
+def test_what_a_page_is_tagged_with_doesn_t_matter(tagger, data):
+    texts = [t for t in pq.read_table(f"{data}/documents.parquet", columns=["text"]).to_pydict()["text"] if t][:60] + [c[0] for c in CASES]
+    assert personal.spans(tagger, texts) == [s for t in texts for s in personal.spans(tagger, [t])]
 
 
 def test_held_out_accuracy(tagger, data):
@@ -82,7 +81,7 @@ def test_gradient_and_viterbi():
     rng = np.random.default_rng(0)
     small = Tagger(9, 2, 4)
     small.p = {k: v.astype(np.float64) for k, v in small.p.items()}
-    x, y = rng.integers(0, 9, (6, 2)), np.array([[0, 1], [1, 1], [1, 0], [0, 0], [2, 0], [2, 2]])
+    x, y = rng.integers(1, 9, (6, 2)), np.array([[0, 1], [1, 1], [1, 0], [0, 0], [2, 0], [2, 2]])
     _, grad = small.loss(x, y)
     for k in ("hf", "hb", "out", "bias", "cross"):
         i = (0, *[1] * (small.p[k].ndim - 1))
