@@ -7,9 +7,9 @@ that close loops.
 
 A node has one parent at most, so components come out of pointer doubling: after
 k rounds a node knows its 2^k-th ancestor and the least id on the way. Nodes that
-have reached a root leave the rounds; the rest go on until the steps exceed
-their number, when all of them stand on a loop. That takes log2(depth) rounds,
-whatever the size of a component.
+have reached a root leave the rounds; the rest go on until a round settles none
+of them (so none is finite) and the steps reach their number, when all pointers stand
+on a loop. That takes log2(depth or number of endless nodes) rounds.
 
 A component may be larger than a task should hold. Those over `most_nodes` keep
 out of the traversal: the rounds also add up steps and loop minima, so that root
@@ -64,7 +64,7 @@ def components(links: DataFrame) -> DataFrame:
     links = materialize(links, "links")
     settled = links.filter(F.col("parent").isNull()).select("id", "parent", F.col("id").alias("root_id"), F.lit(0).cast("long").alias("steps"))
     active = links.filter(F.col("parent").isNotNull()).select("id", "parent", F.col("parent").alias("at"), F.least("id", "parent").alias("least"), F.lit(1).cast("long").alias("steps"))
-    reach = 1
+    reach, left = 1, -1
     while True:
         # a pointer at a settled node ends here, one at an active node doubles
         ends = settled.select(F.col("id").alias("at"), F.col("root_id"), F.lit(None).cast("string").alias("at2"), F.lit(None).cast("string").alias("least2"), F.col("steps").alias("more"))
@@ -75,9 +75,10 @@ def components(links: DataFrame) -> DataFrame:
         merged = materialize(merged, "doubling")
         settled = settled.unionByName(merged.filter(F.col("root_id").isNotNull()).select("id", "parent", "root_id", "steps"))
         active = merged.filter(F.col("root_id").isNull()).drop("root_id")
-        left = active.count()
+        before, left = left, active.count()
         reach *= 2
-        if left == 0 or reach > 2 * left:
+        # a finite node of depth >= reach has an ancestor that the next round settles, so a round that settles none leaves endless nodes only
+        if left == 0 or (left == before and reach >= left):
             break
     whole = settled.select("id", "parent", F.col("root_id").alias("component"), "root_id", "steps", F.lit(False).alias("on_loop"))
     if left == 0:

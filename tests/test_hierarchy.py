@@ -60,6 +60,14 @@ def test_all_shapes_at_both_sizes(spark, most):
     check(spark, [*chain, *star, *loops, *wild], most_nodes=most)
 
 
+@pytest.mark.parametrize("nodes", [5, 11, 150, 300])
+@pytest.mark.parametrize("loop", [[], [("x", "z"), ("y", "x"), ("z", "y")]])
+def test_lone_chains_keep_their_deep_nodes(spark, nodes, loop):
+    chain = [(f"c{i:03d}", f"c{i - 1:03d}" if i else None) for i in range(nodes)]
+    got = {r.id: (r.root_id, r.depth) for r in tree(spark, [*chain, *loop], paths=False).collect()}
+    assert got == brute([*chain, *loop])
+
+
 def test_rows_are_folded_and_the_last_listed_counts(spark):
     rows = [(" A1 ", "zz", 1, 1, "", ""), ("a1", "\tB2 ", 2, 1, "", ""), ("b2", None, 1, 1, "", ""), ("b2", "", 3, 2, "", ""), ("B2", "a1", 3, 1, "", ""), (None, "a1", 1, 1, "", "")]
     got = {r.id: (r.root_id, r.depth) for r in hierarchy(newest_links(spark.createDataFrame(rows, ROWS)), paths=False).collect()}
