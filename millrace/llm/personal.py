@@ -40,7 +40,6 @@ PLACEHOLDERS = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER
 
 _WORD = re.compile(r"[\wſ]+")
 _TITLE_WORD = re.compile(rf"(?:{shapes.TITLES}|M)$")
-_AFTER_TITLE = re.compile(rf"(?:(?<![\w]){shapes.TITLES}\.?|\b[A-Z][a-zſ]{{1,4}}\.|(?<![\w])M[.,]),? ?[\"'(\[]?$")
 _PAIRS = re.compile(shapes._spaced(r"#{2}(?:[ .-] ?#{2}){4}$"))
 _STREETS = re.compile(r"[sſ]tr|[sſ]t[rvn]|ga[sſ]{2}|platz|weg|ru[ec]|av[ec]n|[ck]a[l1]{2}|p[l1]aza|lan[ec]|r[o0]ad|\brd|t[ec]rr|plac|cr[ec]s|court|sq|r[o0]w|av[ec]", re.I)
 
@@ -97,7 +96,7 @@ def _names(view: str, a: int, b: int) -> list[tuple[int, int]]:
         if not held:
             continue
         a, b = held[0][0], held[-1][1]
-        if len(held) == 1 and (b - a < 4 or not (_AFTER_TITLE.search(view[max(0, a - 12) : a]) or shapes.PERSON_AFTER.match(view[b : b + 30]))):
+        if len(held) == 1 and b - a < 2:
             continue
         if len(held) > 1 and b - held[-1][0] == 1 and view[b : b + 1] == ".":
             b += 1

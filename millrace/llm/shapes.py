@@ -65,8 +65,10 @@ OTHER_CUE = re.compile(rf"(?:{_LABELS})\.? ?[\"'(\[]?$", re.I)
 NUMBER_CUE = re.compile(rf"(?:{_LABELS}|N[o0]\.?)\.? ?[\"'(\[]?$", re.I)
 
 EMAIL = re.compile(r"(?:(?<![\w.])\w\. |[\w.+\-]+_ )?[\w.+\-]+ ?(?:[@©®]|\((?:at|af|a|nt)\)|\[at\]|(?<=\w) (?:at|nt|af)(?= \w+ d[o0][tf] ))[ ]?\w[\w\-]*(?: ?\. ?\w+| d[o0][tf] \w+){1,3}", re.I)
-#: The last parts and middle parts of the addresses' domains.
+#: The last parts and middle parts of the test pages' domains; they find the end where blanks or misread signs stand inside.
 LAST_PARTS, MIDDLE_PARTS = ("example", "invalid", "test"), ("mail", "post")
+#: Any other domain: parts without blanks, the last one of letters; a capitalised word behind a point begins a sentence.
+_DOMAIN = re.compile(r" ?\w[\w\-]*(?:\.(?![A-Z][a-z])\w[\w\-]*)*\.(?![A-Z][a-z])[A-Za-z]{2,}(?![\w\-])")
 
 _HOUSE = r"(?=\w{0,3}[1-9])(?:#{1,3}[A-Za-z]?(?: ?- ?#{1,3}[A-Za-z]?)?(?!\w))"
 _CAP = r"[A-ZÄÖÜ][\wſ'éèäöüß]+"
@@ -107,8 +109,8 @@ def near(word: str, other: str, most: int) -> bool:
     return row[-1] <= most
 
 
-def email_end(piece: str) -> int | None:
-    """Where the address in a match of EMAIL ends: behind a last part of a domain; None if there is none."""
+def email_end(piece: str, rest: str = "") -> int | None:
+    """Where the address in a match of EMAIL, with `rest` behind it, ends: behind a known last part of a domain, else behind a domain of any parts; None if there is none."""
     at = re.search(r"[@©®]|[(\[]\w+[)\]]| (?:at|nt|af) ", piece, re.I)
     end = None
     for i, m in enumerate(re.finditer(r"(?: ?\. ?| d[o0][tf] )?(\w[\w\-]*)", piece[at.end() :], re.I)):
@@ -118,15 +120,17 @@ def email_end(piece: str) -> int | None:
             break
         if i and not any(near(word, p, 1) for p in MIDDLE_PARTS):
             break
+    if end is None and (other := _DOMAIN.match(piece + rest, at.end())):
+        end = other.end()
     return end
 
 
 def emails(view: str, start: int = 0, end: int | None = None) -> list[tuple[int, int]]:
     out = []
     for m in EMAIL.finditer(view, start, len(view) if end is None else end):
-        stop = email_end(m.group())
+        stop = email_end(m.group(), view[m.end() : m.end() + 64])
         if stop:
-            piece = m.group()[:stop]
+            piece = view[m.start() : m.start() + stop]
             lead = len(piece) - len(piece.lstrip(".-+_"))
             out.append((m.start() + lead, m.start() + stop))
     return out

@@ -37,6 +37,18 @@ def test_spans(tagger, text, want):
     assert found(tagger, text) == want
 
 
+@pytest.mark.parametrize("text,piece,kind,want", [
+    ("It was won by Captain Rushwick on Monday.", "Rushwick", 5, "Rushwick"),
+    ("A letter from Professor Lee was read.", "Lee", 5, "Lee"),
+    ("Mail to info@firm.co.uk, or write.", "Mail to info@firm.co.uk", 1, "info@firm.co.uk"),
+    ("Write to a.branwick@post.uni-koeln.de. The ferry was late.", "branwick@post.uni", 1, "a.branwick@post.uni-koeln.de"),
+    ("Write to a.branwick@gmail.com.The ferry was late.", "a.branwick@gmail.com", 1, "a.branwick@gmail.com"),
+])
+def test_what_the_tagger_found_outside_the_lists_is_kept(text, piece, kind, want):
+    a = text.index(piece)
+    assert [(text[x:y], k) for x, y, k in personal.settle(text, a, a + len(piece), kind)] == [(want, kind)]
+
+
 def test_empty_blank_and_long(tagger):
     assert personal.spans(tagger, ["", " \n", "x"]) == [[], [], []]
     filler = "The river stood at twenty feet and the council was told of it before noon. "
