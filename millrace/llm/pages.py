@@ -155,9 +155,9 @@ WINDOW, OVERLAP = 112, 28
 def windows(spans: np.ndarray) -> np.ndarray:
     """(start, end, first, last) of the windows that cover the regions.
 
-    A long region is cut into overlapping windows; each answers for the signs from
-    `first` to `last`, its own half of every overlap, so that no sign is judged
-    near a cut without context.
+    A long region is cut into overlapping windows, of which two at most share a sign;
+    from `first` to `last` is a window's own half of every overlap, and a window with
+    `first` at its start begins a region.
     """
     out = []
     step = WINDOW - OVERLAP
@@ -177,20 +177,45 @@ def windows(spans: np.ndarray) -> np.ndarray:
 
 
 def tag(tagger, codes: np.ndarray, cuts: np.ndarray, batch: int = 512) -> np.ndarray:
-    """Tags of all signs: windows of like length are decoded together and put together again."""
+    """Tags of all signs: windows of like length are scored together, and one Viterbi goes over each whole region.
+
+    In an overlap the scores of both windows count, each the less the nearer its cut is.
+    """
     signs, tags = encode(codes), np.zeros(len(codes), np.int8)
-    order = np.argsort(cuts[:, 1] - cuts[:, 0], kind="stable")
-    for at in range(0, len(order), batch):
-        rows = cuts[order[at : at + batch]]
-        steps = int((rows[:, 1] - rows[:, 0]).max())
-        place = rows[:, 0] + np.arange(steps)[:, None]
-        inside = place < rows[:, 1]
-        got = tagger.decode(np.where(inside, signs[np.minimum(place, len(signs) - 1)], 0).astype(np.int64))
-        mine = inside & (place >= rows[:, 2]) & (place < rows[:, 3])
-        tags[place[mine]] = got[mine]
+    if not len(cuts):
+        return tags
+    scores = np.zeros((len(codes), tagger.kinds + 1), np.float32)
+    begins = cuts[:, 0] == cuts[:, 2]
+    ends = np.append(begins[1:], True)
+    at = np.arange(len(cuts))
+    odd = (at - np.maximum.accumulate(np.where(begins, at, 0))) % 2 == 1
+    for rows, place, inside in _batches(cuts, batch):
+        got = tagger.scores(np.where(inside, signs[np.minimum(place, len(signs) - 1)], 0).astype(np.int64))
+        rise = np.where(begins[rows], 1, (place - cuts[rows, 0] + 0.5) / OVERLAP)
+        fall = np.where(ends[rows], 1, (cuts[rows, 1] - place - 0.5) / OVERLAP)
+        got *= np.minimum(np.minimum(rise, fall), 1).astype(np.float32)[:, :, None]
+        for mine in (inside & ~odd[rows], inside & odd[rows]):  # every second window: none of them share a sign
+            scores[place[mine]] += got[mine]
+    whole = np.stack([cuts[begins, 0], cuts[ends, 1]], 1)
+    for _, place, inside in _batches(whole, batch):
+        best = tagger.viterbi(scores[np.minimum(place, len(signs) - 1)], ~inside)
+        tags[place[inside]] = best[inside]
     return tags
 
 
+def _batches(spans: np.ndarray, batch: int, most: int = 1_000_000):
+    """(rows, places (T, B), which of them lie inside) of spans of like length, of `most` places if there are several spans."""
+    lengths = spans[:, 1] - spans[:, 0]
+    order, at = np.argsort(lengths, kind="stable"), 0
+    while at < len(order):
+        rows = order[at : at + batch]
+        fits = np.flatnonzero(lengths[rows] * np.arange(1, len(rows) + 1) <= most)
+        rows = rows[: max(1, len(fits))]
+        place = spans[rows, 0] + np.arange(int(lengths[rows[-1]]))[:, None]
+        yield rows, place, place < spans[rows, 1]
+        at += len(rows)
+
+
 def runs(tags: np.ndarray) -> np.ndarray:
     """(start, end, tag) of the stretches of one tag other than 0."""
     edge = np.flatnonzero(np.diff(np.concatenate([[0], tags, [0]])))

@@ -2,8 +2,8 @@
 
 Method: a character-level bidirectional LSTM with CRF transitions (tagger.py),
 trained in numpy from labelled spans (train_personal.py), tags overlapping windows
-of the page; each window answers for its own half of an overlap, and the tags
-of all windows are put together before spans are read off. Windows lie around seeds
+of the page; in an overlap the scores of both windows are merged, and one Viterbi
+over each whole region gives the tags before spans are read off. Windows lie around seeds
 that every kind needs (pages.seeds: digits, at signs, capitalised neighbours), so
 that text without them costs no network time. At last the ends of each span are
 put exactly: a span keeps to whole words and to the shape of its kind (shapes.py);

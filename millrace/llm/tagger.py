@@ -76,7 +76,11 @@ class Tagger:
 
     def decode(self, x: np.ndarray) -> np.ndarray:
         """The best tags (T, B)."""
-        e = self.scores(x).transpose(0, 2, 1)
+        return self.viterbi(self.scores(x), x == 0)
+
+    def viterbi(self, scores: np.ndarray, pads: np.ndarray) -> np.ndarray:
+        """The best tags (T, B) for scores (T, B, 1 + kinds); `pads` marks what lies behind the ends."""
+        e = scores.transpose(0, 2, 1)
         steps, _, width = e.shape
         into, stay, leave = (self.p["cross"][:, i, None] for i in range(3))
         quiet = self.p["cross"][:, 3].sum()
@@ -84,7 +88,6 @@ class Tagger:
         from_o = np.empty((steps, width), np.int8)
         stays = np.empty((steps, self.kinds, width), bool)
         options = np.empty((self.kinds + 1, width), np.float32)
-        pads = x == 0
         padded = pads.any(1)
         for t in range(1, steps):
             options[0] = best_o + quiet

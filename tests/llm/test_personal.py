@@ -49,6 +49,24 @@ def test_what_the_tagger_found_outside_the_lists_is_kept(text, piece, kind, want
     assert [(text[x:y], k) for x, y, k in personal.settle(text, a, a + len(piece), kind)] == [(want, kind)]
 
 
+def test_windows_are_reconciled_in_overlaps():
+    """What only the first of two windows is sure of holds up to 8 signs before its cut, in the other window's half too."""
+    first, cut = pages.WINDOW - pages.OVERLAP, pages.WINDOW - 8
+
+    class Sure(Tagger):
+        def scores(self, x):
+            e = np.zeros((*x.shape, self.kinds + 1), np.float32)
+            e[:, :, 0] = 1
+            e[first:cut, (x != 0).all(0)] = [0, 0, 0, 0, 0, 100]
+            return e
+
+    tagger = Sure(pages.SIGNS, len(shapes.KINDS))
+    tagger.p["cross"][:] = 0
+    codes = pages.points("x" * 150)
+    tags = pages.tag(tagger, codes, pages.windows(np.array([[0, 150]])))
+    assert pages.runs(tags).tolist() == [[first, cut, 5]]
+
+
 def test_empty_blank_and_long(tagger):
     assert personal.spans(tagger, ["", " \n", "x"]) == [[], [], []]
     filler = "The river stood at twenty feet and the council was told of it before noon. "
