@@ -44,6 +44,17 @@ def p2_descendants(spark, d):
     return hierarchy.descendants(tree.filter("depth >= 0"))
 
 
+def p2_looped_paths(spark, d):
+    """Path from its loop's least id and depth (-1 on a loop, -2 behind one) of each node without a root."""
+    tree = hierarchy.hierarchy(_links(spark, d)).filter("depth < 0")
+    return tree.select("id", "root_id", "depth", F.array_join("path", "/").alias("path"))
+
+
+def p2_back_edges(spark, d):
+    """The link that closes each loop."""
+    return hierarchy.back_edges(hierarchy.hierarchy(_links(spark, d), paths=False))
+
+
 def p3_found(spark, d):
     return snapdiff.snapshot_changes(load(spark, d, "snapshot_meta"), load(spark, d, "snapshot_file"))
 
@@ -78,7 +89,7 @@ def p5_files(spark, d):
     )
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_state_counts, p2_found, p2_paths, p2_descendants, p3_found, p4_found, p4_second_run, p5_found, p5_files)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_state_counts, p2_found, p2_paths, p2_descendants, p2_looped_paths, p2_back_edges, p3_found, p4_found, p4_second_run, p5_found, p5_files)}
 
 _BLANKS = r"'^[\s\p{Z}\x00-\x1f]+|[\s\p{Z}\x00-\x1f]+$', '', 'g'"
 
@@ -141,6 +152,14 @@ walk as (
 loops as (select id as node from walk where above = id)
 """
 
+_LOOPED = """
+ends as (select w.id, min(l.node) as root_id, bool_or(w.above = w.id) as on_loop from walk w join loops l on w.above = l.node group by w.id),
+looped as (
+  select id, root_id, id as path from ends where id = root_id
+  union all
+  select o.id, t.root_id, t.path || '/' || o.id from odd o join looped t on o.parent = t.id where o.id <> t.root_id)
+"""
+
 
 def _sequences(runs: str) -> str:
     parts = []
@@ -184,6 +203,10 @@ select w.id, min(l.node), case when bool_or(w.above = w.id) then -1 else -2 end
 with recursive {_LINKS}, {_TREE}, {_CLOSURE}, below as (select ancestor, count(*) as n from closure group by 1)
 select t.id, t.root_id, t.depth, t.path, coalesce(b.n, 0) as descendants from tree t left join below b on t.id = b.ancestor""",
     "p2_descendants": f"with recursive {_LINKS}, {_TREE}, {_CLOSURE} select ancestor, id, distance from closure",
+    "p2_looped_paths": f"""
+with recursive {_LINKS}, {_TREE}, {_ENDLESS}, {_LOOPED}
+select e.id, e.root_id, case when e.on_loop then -1 else -2 end as depth, l.path from ends e join looped l on e.id = l.id""",
+    "p2_back_edges": f"with recursive {_LINKS}, {_TREE}, {_ENDLESS}, {_LOOPED} select o.id, o.parent from odd o join ends e on o.id = e.id and e.id = e.root_id",
     "p3_found": f"""
 with metas as (
   select {_fold("id")} as id, db_name, sequence, {_fold("snapshot_type")} as kind from snapshot_meta where id is not null

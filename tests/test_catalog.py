@@ -26,3 +26,10 @@ def test_entry_module_lists_all_queries(spark, data):
     known = __spark_entry__.queries()
     assert set(QUERIES) <= set(known) and set(__spark_entry__.oracle_sql()) <= set(known)
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_every_node_has_a_path_in_some_query(spark, data):
+    found = QUERIES["p2_found"](spark, data).collect()
+    paths = [r.id for name in ("p2_paths", "p2_looped_paths") for r in QUERIES[name](spark, data).collect()]
+    assert sorted(paths) == sorted(r.id for r in found)
+    assert {r.id for r in QUERIES["p2_back_edges"](spark, data).collect()} == {r.root_id for r in found if r.depth < 0}
