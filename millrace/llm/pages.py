@@ -1,4 +1,4 @@
-"""Pages as the tagger reads them: a cleaned view, signs as integers, candidate regions and windows.
+"""Pages as the tagger reads them: a cleaned view, signs as integers, overlapping windows, tags of whole pages.
 
 The cleaned view leaves out what a scanner puts inside words (specks, hyphens at
 line ends with the break after them) and has a blank for other line breaks. Every
@@ -24,11 +24,6 @@ for _c in range(0xA0, 0x10000):
 for _i, _c in enumerate(ALPHABET):
     _TABLE[ord(_c)] = 3 + _i
 
-_UPPER = np.zeros(0x10000, bool)
-_ALPHA = np.zeros(0x10000, bool)
-for _c in range(0x10000):
-    _UPPER[_c], _ALPHA[_c] = chr(_c).isupper(), chr(_c).isalpha()
-
 _BROKEN = re.compile("([-\xac=\xad])([ \t]*\r?\n[ \t]*)|[\xb7^~\xad\r]")
 
 
@@ -73,133 +68,76 @@ def encode(codes: np.ndarray) -> np.ndarray:
     return _TABLE[codes]
 
 
-#: Signs of context on either side of a seed.
-BEFORE, AFTER = 26, 24
-#: Articles and the like: before a capitalised word they don't begin a name.
-_ARTICLES = ("The", "THE", "Our", "OUR", "Der", "Die", "Das", "Ein", "Une", "Les", "Los", "Las", "One")
-_ARTICLE_KEYS = np.array([ord(w[0]) << 16 | ord(w[1]) << 8 | ord(w[2]) for w in _ARTICLES])
-#: How French street words begin: rue, avenue, chemin, quai, impasse, boulevard.
-_STREET_KEYS = np.array([ord(w[0]) << 8 | ord(w[1]) for w in ("ru", "av", "ch", "qu", "im", "bo")])
-_DOT = ord("d") << 16 | ord("o") << 8 | ord("t")
-
-
-def _spread(marks: np.ndarray, before: int, after: int) -> np.ndarray:
-    """True from `before` signs ahead of each mark to `after` signs behind it."""
-    at = np.flatnonzero(marks)
-    steps = np.zeros(len(marks) + 1, np.int32)
-    np.add.at(steps, np.maximum(at - before, 0), 1)
-    np.add.at(steps, np.minimum(at + after + 1, len(marks)), -1)
-    return np.cumsum(steps[:-1]) > 0
-
-
-def seeds(codes: np.ndarray) -> np.ndarray:
-    """Marks of the places that any of the kinds must be near; deliberately wide.
-
-    A number: five digits within eleven signs, or a digit next to a capitalised word
-    (a house or an exchange) or to a street or number word in small letters. An
-    address: an at sign, or a bracketed or written one. A name: two words with
-    capitals next to each other (an initial or a short title may end in a point),
-    or one behind a title in small letters.
-    """
-    n = len(codes)
-    digit = (codes >= 48) & (codes <= 57)
-    alpha, upper = _ALPHA[codes], _UPPER[codes]
-    marks = (codes == 64) | (codes == 0xA9) | (codes == 0xAE)
-    total = np.concatenate([[0], np.cumsum(digit)])
-    ahead = np.minimum(np.arange(n) + 11, n)
-    marks |= digit & (total[ahead] - total[:n] >= 5)
-    word = alpha | digit
-    start = word.copy()
-    start[1:] &= ~word[:-1]
-    s = np.flatnonzero(start)
-    if len(s) < 2:
-        return marks
-    end = word.copy()
-    end[:-1] &= ~word[1:]
-    e = np.flatnonzero(end)
-    length, num = e - s + 1, (total[e + 1] - total[s]) > 0
-    one, two, three = codes[s].astype(np.int64), codes[np.minimum(s + 1, n - 1)].astype(np.int64), codes[np.minimum(s + 2, n - 1)].astype(np.int64)
-    key = np.where(length == 3, one << 16 | two << 8 | three, 0)
-    behind = codes[np.minimum(e + 1, n - 1)]
-    cap = upper[s] | (num & upper[np.minimum(s + 1, n - 1)] & (length > 1))
-    gap = s[1:] - e[:-1] - 1
-    first, second = slice(None, -1), slice(1, None)
-    point = behind[first] == 46
-    article = np.isin(key, _ARTICLE_KEYS) | ((length == 1) & (behind == 32))
-    caps = cap[first] & cap[second] & (gap <= 3) & (~point | (length[first] <= 4) | (gap <= 1)) & ~article[first]
-    house = (gap <= 3) & num[first] & ~point & (cap[second] | ((length[second] >= 3) & np.isin(one[second] << 8 | two[second], _STREET_KEYS)))
-    place = (gap <= 3) & num[second] & ~num[first] & ~point & ((upper[s[first]] & (length[first] >= 4)) | ((one[first] == 110) & (length[first] == 3)))
-    number = point & (gap <= 3) & num[second] & (one[first] == 110) & (length[first] == 3)
-    title = (gap <= 2) & cap[second] & (one[first] == 115) & (length[first] >= 4)
-    pair = caps | house | place | number | title
-    marks[s[first][pair]] = True
-    marks[s[second][pair]] = True
-    marks[s[key == _DOT]] = True
-    marks[np.maximum(s[key == _DOT] - 20, 0)] = True
-    bracket = (length == 2) & (one == 97) & (codes[np.maximum(s - 1, 0)] != 32) & (behind != 32) & (two == 116)
-    marks[s[bracket]] = True
-    return marks
-
-
-def regions(codes: np.ndarray) -> np.ndarray:
-    """(start, end) of the stretches around the seeds, widened to whole words."""
-    wide = _spread(seeds(codes), BEFORE, AFTER)
-    edge = np.diff(np.concatenate([[0], wide.view(np.int8), [0]]))
-    return np.stack([np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)], 1)
-
-
 #: Length and overlap of windows.
-WINDOW, OVERLAP = 112, 28
+WINDOW, OVERLAP = 320, 48
+#: Windows that are scored at once.
+BATCH = 160
 
 
 def windows(spans: np.ndarray) -> np.ndarray:
-    """(start, end, first, last) of the windows that cover the regions.
+    """(start, end, first) of the overlapping windows that cover the spans; `first` marks those that begin one.
 
-    A long region is cut into overlapping windows, of which two at most share a sign;
-    from `first` to `last` is a window's own half of every overlap, and a window with
-    `first` at its start begins a region.
+    Two windows at most share a sign.
     """
     out = []
     step = WINDOW - OVERLAP
     for a, b in spans.tolist():
-        if b - a <= WINDOW:
-            out.append((a, b, a, b))
+        if b <= a:
             continue
-        at, mine = a, a
-        while True:
-            end = min(at + WINDOW, b)
-            last = b if end == b else end - OVERLAP // 2
-            out.append((at, end, mine, last))
-            if end == b:
-                break
-            at, mine = at + step, last
-    return np.array(out, np.int64).reshape(-1, 4)
-
+        for at in range(a, max(a + 1, b - OVERLAP), step):
+            out.append((at, min(at + WINDOW, b), at == a))
+    return np.array(out, np.int64).reshape(-1, 3)
 
-def tag(tagger, codes: np.ndarray, cuts: np.ndarray, batch: int = 512) -> np.ndarray:
-    """Tags of all signs: windows of like length are scored together, and one Viterbi goes over each whole region.
 
-    In an overlap the scores of both windows count, each the less the nearer its cut is.
+def scores(tagger, codes: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """(1 + kinds, signs): the scores of all signs in windows. In an overlap those of both windows count, each the less the nearer its cut is."""
+    signs = encode(codes)
+    out = np.zeros((tagger.kinds + 1, len(codes)), np.float32)
+    rise = ((np.arange(OVERLAP) + 0.5) / OVERLAP).astype(np.float32)
+    begins = np.append(cuts[:, 2] == 1, True)
+    lengths = cuts[:, 1] - cuts[:, 0]
+    order = np.argsort(lengths, kind="stable")
+    for at in range(0, len(cuts), BATCH):
+        rows = order[at : at + BATCH].tolist()
+        x = np.zeros((len(rows), lengths[rows[-1]]), np.uint8)
+        for i, r in enumerate(rows):
+            x[i, : lengths[r]] = signs[cuts[r, 0] : cuts[r, 1]]
+        got = np.ascontiguousarray(tagger.scores(x.T).transpose(2, 1, 0))
+        for part, r in zip(got, rows, strict=True):
+            a, b, first = cuts[r].tolist()
+            part = part[:, : b - a]
+            if not first:
+                part[:, :OVERLAP] *= rise
+            if not begins[r + 1]:
+                part[:, -OVERLAP:] *= rise[::-1]
+            out[:, a:b] += part
+    return out
+
+
+def tag(tagger, codes: np.ndarray, spans: np.ndarray) -> np.ndarray:
+    """Tags of all signs: the best path over each whole span (start, end), from the merged scores of its windows.
+
+    Where the outside leads by more than any steps can make up for, the best path is
+    outside; there it is cut without changing it, and only the pieces between such
+    places are left to Viterbi.
     """
-    signs, tags = encode(codes), np.zeros(len(codes), np.int8)
-    if not len(cuts):
+    merged, tags = scores(tagger, codes, windows(spans)), np.zeros(len(codes), np.int8)
+    if not len(codes):
+        return tags
+    inside = np.zeros(len(codes) + 1, bool)
+    for a, b in spans.tolist():
+        inside[a:b] = True
+    open_ = (merged[0] - merged[1:].max(0) <= tagger.margin()) & inside[:-1]
+    edge = np.diff(np.concatenate([[0], open_.view(np.int8), [0]]))
+    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    if not len(starts):
         return tags
-    scores = np.zeros((len(codes), tagger.kinds + 1), np.float32)
-    begins = cuts[:, 0] == cuts[:, 2]
-    ends = np.append(begins[1:], True)
-    at = np.arange(len(cuts))
-    odd = (at - np.maximum.accumulate(np.where(begins, at, 0))) % 2 == 1
-    for rows, place, inside in _batches(cuts, batch):
-        got = tagger.scores(np.where(inside, signs[np.minimum(place, len(signs) - 1)], 0).astype(np.int64))
-        rise = np.where(begins[rows], 1, (place - cuts[rows, 0] + 0.5) / OVERLAP)
-        fall = np.where(ends[rows], 1, (cuts[rows, 1] - place - 0.5) / OVERLAP)
-        got *= np.minimum(np.minimum(rise, fall), 1).astype(np.float32)[:, :, None]
-        for mine in (inside & ~odd[rows], inside & odd[rows]):  # every second window: none of them share a sign
-            scores[place[mine]] += got[mine]
-    whole = np.stack([cuts[begins, 0], cuts[ends, 1]], 1)
-    for _, place, inside in _batches(whole, batch):
-        best = tagger.viterbi(scores[np.minimum(place, len(signs) - 1)], ~inside)
-        tags[place[inside]] = best[inside]
+    # with one sign of the outside on either side, where the span has one; texts have a sign between them
+    low, high = starts - ((starts > 0) & inside[starts - 1]), ends + inside[ends]
+    merged[1:, ~open_] = -1e4
+    for _, place, mine in _batches(np.stack([low, high], 1), 4096):
+        best = tagger.viterbi(np.ascontiguousarray(merged[:, np.minimum(place, len(codes) - 1)].transpose(1, 0, 2)), ~mine)
+        tags[place[mine]] = best[mine]
     return tags
 
 

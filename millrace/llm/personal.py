@@ -1,25 +1,20 @@
 """Personal information inside free text (problem 8).
 
 Method: a character-level bidirectional LSTM with CRF transitions (tagger.py),
-trained in numpy from labelled spans (train_personal.py), tags overlapping windows
-of the page; in an overlap the scores of both windows are merged, and one Viterbi
-over each whole region gives the tags before spans are read off. Windows lie around seeds
-that every kind needs (pages.seeds: digits, at signs, capitalised neighbours), so
-that text without them costs no network time. At last the ends of each span are
-put exactly: a span keeps to whole words and to the shape of its kind (shapes.py);
-spans of which nothing fits are dropped. No shape adds a span that the tagger
-has not found.
+trained in numpy from labelled spans (train_personal.py), tags every sign of every
+page in overlapping windows; in an overlap the scores of both windows are merged,
+and the best path over each whole page gives the tags. Spans are read off the tags.
+A span keeps to whole words, and surrounding punctuation is trimmed; nothing else
+changes, adds or drops what the tagger found.
 
 Defined results: null, empty and blank texts have no spans; null doc_ids are
 kept in redaction and left out of findings; offsets count characters of the text as given;
-spans don't overlap, the longer one of two stays; a text of any length is done
-as a whole, window by window.
+spans don't overlap; a text of any length is done as a whole, window by window.
 """
 
 from __future__ import annotations
 
 import io
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 from pathlib import Path
@@ -27,21 +22,24 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from millrace.llm import pages, shapes
+from millrace.llm import pages
 from millrace.llm.tagger import Tagger
-from millrace.session import ship
+from millrace.session import partitions_for, ship
 
 WEIGHTS = Path(__file__).with_name("personal_weights.npz")
-#: Characters of cleaned text that are tagged together.
-CHUNK = 1_000_000
-
+#: Characters of text that are tagged together.
+CHUNK = 400_000
+
+#: The kinds, in the order of the tagger's tags from 1.
+KINDS = ("email", "phone", "id_number", "street", "name")
+#: What the tagger sees before and behind a text.
+BEFORE, BEHIND = ". ", " "
+#: Bytes of Parquet that a task tags.
+TASK_BYTES = 4 << 20
 PLACEHOLDERS = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]", "street": "[STREET]", "name": "[NAME]"}
-
-_WORD = re.compile(r"[\wſ]+")
-_TITLE_WORD = re.compile(rf"(?:{shapes.TITLES}|M)$")
-_PAIRS = re.compile(shapes._spaced(r"#{2}(?:[ .-] ?#{2}){4}$"))
-_STREETS = re.compile(r"[sſ]tr|[sſ]t[rvn]|ga[sſ]{2}|platz|weg|ru[ec]|av[ec]n|[ck]a[l1]{2}|p[l1]aza|lan[ec]|r[o0]ad|\brd|t[ec]rr|plac|cr[ec]s|court|sq|r[o0]w|av[ec]", re.I)
+STREET, NAME = KINDS.index("street") + 1, KINDS.index("name") + 1
 
 
 @lru_cache(maxsize=2)
@@ -49,121 +47,48 @@ def _tagger(weights: bytes) -> Tagger:
     return Tagger.load(io.BytesIO(weights))
 
 
-def _words(view: str, a: int, b: int) -> tuple[int, int] | None:
-    """The span widened to the whole words that it covers at least half."""
-    low = a
-    while low > 0 and (view[low - 1].isalnum()) and a - low < 20:
-        low -= 1
-    found = [m.span() for m in _WORD.finditer(view, low, min(len(view), b + 20)) if m.start() < b and m.end() > a]
-    found = [(x, y) for x, y in found if 2 * (min(y, b) - max(x, a)) >= y - x]
-    return (found[0][0], found[-1][1]) if found else None
-
-
-def _touching(options: list[tuple[int, int]], a: int, b: int) -> tuple[int, int] | None:
-    best = max(options, key=lambda o: (min(o[1], b) - max(o[0], a), o[1] - o[0]), default=None)
-    return best if best and 2 * (min(best[1], b) - max(best[0], a)) >= min(b - a, best[1] - best[0]) else None
-
-
-def _case(word: str) -> str:
-    return "upper" if word.isupper() else "lower" if word.islower() else "mixed"
-
-
-def _names(view: str, a: int, b: int) -> list[tuple[int, int]]:
-    """The names in a tagged stretch: whole words without titles, divided where one name ends and another begins."""
-    span = _words(view, a, b)
-    if not span:
-        return []
-    words = [m.span() for m in _WORD.finditer(view, *span)]
-    groups, held = [], []
-    for i, (x, y) in enumerate(words):
-        piece = view[x:y]
-        if held:
-            gap = view[held[-1][1] : x]
-            long_ = sum(v - u > 1 for u, v in held)
-            inner = gap in (".", "'", "-", "’") and view[x].islower() and piece != "s"  # a speck inside a word
-            if not inner and (";" in gap or "  " in gap or ("." in gap and held[-1][1] - held[-1][0] > 1 and not _TITLE_WORD.match(view[held[-1][0] : held[-1][1]])) or ("," in gap and long_ > 1) or ("," not in gap and y - x > 1 and len(long_case := {_case(view[u:v]) for u, v in held if v - u > 1}) == 1 and {*long_case, _case(piece)} == {"upper", "mixed"})):
-                groups.append(held)
-                held = []
-        if not held and (_TITLE_WORD.match(piece) and i + 1 < len(words) and not (piece == "M" and view[y : y + 1] != ".")):
-            continue
-        held.append((x, y))
-    out = []
-    for held in [*groups, held]:
-        while held and not (view[held[0][0]].isupper() or (view[held[0][0]].isdigit() and view[held[0][0] + 1 : held[0][1]].isalpha())):
-            held = held[1:]
-        while held and (not any(c.isalpha() for c in view[slice(*held[-1])]) or (view[held[-1][0]].islower() and len(held) > 1 and (view[held[-1][0] - 1] == " " or view[slice(*held[-1])] == "s"))):
-            held = held[:-1]
-        if not held:
-            continue
-        a, b = held[0][0], held[-1][1]
-        if len(held) == 1 and b - a < 2:
-            continue
-        if len(held) > 1 and b - held[-1][0] == 1 and view[b : b + 1] == ".":
-            b += 1
-        if re.match(r" ?& ?(?:C[o0]|S[o0]n|S[öo]hn)", view[b : b + 8]):
-            continue
-        out.append((a, b))
-    return out
-
-
-def settle(view: str, a: int, b: int, kind: int) -> list[tuple[int, int, int]]:
-    """The exact spans (start, end, kind) of a tagged stretch; none if it can't be of its kind."""
-    low, high = max(0, a - 24), min(len(view), b + 24)
-    name = shapes.KINDS[kind - 1]
-    if name == "name":
-        return [(x, y, kind) for x, y in _names(view, a, b)]
-    if name == "email":
-        options = shapes.emails(view, low, min(len(view), b + 40))
-    elif name == "street":
-        options = shapes.streets(view, low, high)
-    else:
-        phones = shapes.numbers(shapes.PHONE, view, low, high) + [m.span() for m in shapes.EXCHANGE.finditer(view, low, high)]
-        ids = shapes.numbers(shapes.ID, view, low, high)
-        own, other = (phones, ids) if name == "phone" else (ids, phones)
-        options = own
-        if not _touching(own, a, b) and _touching(other, a, b):
-            options, name = other, "id_number" if name == "phone" else "phone"
-            kind = shapes.KINDS.index(name) + 1
-    exact = _touching(options, a, b)
-    if exact and name == "email":
-        # a line may break behind the point of the first name; the tagger tells it from the end of a sentence
-        first = re.search(r"(?<![\w.])([A-Za-z]{2,})\. $", view[max(0, exact[0] - 16) : exact[0]])
-        if first and a <= exact[0] - len(first.group()) + 2 and _case(first.group(1)) == _case(re.match(r"\w+", view[exact[0] :]).group()):
-            exact = (exact[0] - len(first.group()), exact[1])
-    span = exact or _words(view, a, b)
-    if not span:
-        return []
-    piece, before = view[span[0] : span[1]], view[max(0, span[0] - 28) : span[0]]
-    if name in ("phone", "id_number"):
-        # the label before a number can rule it out
-        if shapes.OTHER_CUE.search(before) and not (shapes.PHONE_CUE if name == "phone" else shapes.ID_CUE).search(before):
-            return []
-        if name == "id_number" and _PAIRS.match(piece):
-            return [(*span, shapes.KINDS.index("phone") + 1)]
-    if exact:
-        return [(*exact, kind)]
-    if view[span[0] - 1 : span[0]] in ("(", "+") and name == "phone":
-        span = (span[0] - 1, span[1])
-    least = {"email": 0, "street": 1, "phone": 6, "id_number": 5}[name]
-    if shapes.digits(piece) < least or len(piece) < 6:
-        return []
-    if name == "email" and not re.search(r"[@©®]|\(at\)| at ", piece):
-        return []
-    if name == "phone" and re.fullmatch(r"\w{3}-\w{2}-\w{4}", piece):
-        return []
-    if name == "street":
-        if not _STREETS.search(piece) or not re.search(r"(?<!\w)(?=\w*[1-9])[\dOolIZSBbgq]{1,3}[A-Za-z]?(?!\w)", piece):
-            return []
-        if view[span[1] : span[1] + 1] == "." and re.search(r" (?:St|Rd|Ave|Sq|Pl)$", piece):
-            span = (span[0], span[1] + 1)
-    return [(*span, kind)]
+def _word(view: str, at: int) -> tuple[int, int]:
+    """The letters and digits around a sign."""
+    a, b = at, at + 1
+    while a > 0 and view[a - 1].isalnum():
+        a -= 1
+    while b < len(view) and view[b].isalnum():
+        b += 1
+    return a, b
+
+
+def settle(view: str, a: int, b: int, kind: int) -> tuple[int, int] | None:
+    """A tagged stretch with whole words at its ends (those that it covers at least half) and without punctuation around it; None if nothing is left."""
+    while a < b and not view[a].isalnum():
+        a += 1
+    tagged_end = b
+    while b > a and not view[b - 1].isalnum():
+        b -= 1
+    if a == b:
+        return None
+    x, y = _word(view, a)
+    a = x if 2 * (min(y, b) - a) >= y - x else y
+    x, y = _word(view, b - 1)
+    b = y if 2 * (b - max(x, a)) >= y - x else x
+    while a < b and not view[a].isalnum():
+        a += 1
+    while b > a and not view[b - 1].isalnum():
+        b -= 1
+    if a >= b:
+        return None
+    last = b - _word(view, b - 1)[0]
+    if view[b : b + 1] == "." and ((kind == NAME and last == 1) or (kind == STREET and last <= 4 and tagged_end > b)):
+        b += 1  # the point of an initial or abbreviation
+    if view[a - 1 : a] in ("(", "+") and ")" in view[a:b] or view[a - 1 : a] == "+":
+        a -= 1  # a code's bracket or sign
+    return a, b
 
 
 def _merged(tags: np.ndarray, view: str) -> list[tuple[int, int, int]]:
     """Stretches of one kind; those with only a join sign between them are one."""
     out: list[tuple[int, int, int]] = []
     for a, b, kind in pages.runs(tags).tolist():
-        if out and out[-1][2] == kind and (a - out[-1][1] <= 1 or (a - out[-1][1] == 2 and view[out[-1][1] : a] in (". ", "- "))) and view[out[-1][1] : a].strip(" -.'") == "" and "  " not in view[out[-1][1] : a]:
+        if out and out[-1][2] == kind and (a == out[-1][1] or (a - out[-1][1] == 1 and view[out[-1][1]] in " -'’")):
             out[-1] = (out[-1][0], b, kind)
         else:
             out.append((a, b, kind))
@@ -173,32 +98,28 @@ def _merged(tags: np.ndarray, view: str) -> list[tuple[int, int, int]]:
 def spans(tagger: Tagger, texts: list[str]) -> list[list[tuple[int, int, int]]]:
     """(start, end, kind number) in each text, in order."""
     views = [pages.clean(t) for t in texts]
-    whole = "\0".join(v for v, _ in views)
-    if not whole:
+    if not any(len(v) for v, _ in views):
         return [[] for _ in texts]
-    codes = pages.points(whole)
-    tags = pages.tag(tagger, codes, pages.windows(pages.regions(codes)))
-    out, at = [], 0
-    for view, offsets in views:
-        found = []
-        for a, b, kind in _merged(tags[at : at + len(view)], view):
-            found.extend(settle(view, a, b, kind))
+    # a text begins and ends as a sentence does, and not as a window inside of a page
+    whole = "\0".join(f"{BEFORE}{v}{BEHIND}" for v, _ in views)
+    lengths = np.array([len(BEFORE) + len(v) + len(BEHIND) for v, _ in views])
+    starts = np.cumsum(lengths + 1) - lengths - 1
+    tags = pages.tag(tagger, pages.points(whole), np.stack([starts, starts + lengths], 1))
+    out = []
+    for at, (view, offsets) in zip((starts + len(BEFORE)).tolist(), views, strict=True):
         kept: list[tuple[int, int, int]] = []
-        for a, b, kind in sorted(found):
-            if kept and a < kept[-1][1]:
-                if b - a > kept[-1][1] - kept[-1][0]:
-                    kept[-1] = (a, b, kind)
-                continue
-            kept.append((a, b, kind))
+        for a, b, kind in _merged(tags[at : at + len(view)], view):
+            found = settle(view, a, b, kind)
+            if found and not (kept and found[0] < kept[-1][1]):
+                kept.append((*found, kind))
         out.append([(int(offsets[a]), int(offsets[b - 1]) + 1, kind) for a, b, kind in kept])
-        at += len(view) + 1
     return out
 
 
 def redact(text: str, found: list[tuple[int, int, int]]) -> str:
     parts, at = [], 0
     for a, b, kind in found:
-        parts += [text[at:a], PLACEHOLDERS[shapes.KINDS[kind - 1]]]
+        parts += [text[at:a], PLACEHOLDERS[KINDS[kind - 1]]]
         at = b
     return "".join([*parts, text[at:]])
 
@@ -225,7 +146,7 @@ def _runner(weights, redacting: bool):
                     new = [t if t is None else redact(t, f) for t, f in zip(texts[a:b], found, strict=True)]
                     yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(new, pa.string())], names=["doc_id", "text"])
                 else:
-                    rows = [(i, shapes.KINDS[k - 1], s, e) for i, f in zip(ids.slice(a, b - a).to_pylist(), found, strict=True) for s, e, k in f]
+                    rows = [(i, KINDS[k - 1], s, e) for i, f in zip(ids.slice(a, b - a).to_pylist(), found, strict=True) for s, e, k in f]
                     columns = list(zip(*rows, strict=True)) or [[], [], [], []]
                     types = (pa.int64(), pa.string(), pa.int32(), pa.int32())
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["doc_id", "kind", "start_pos", "end_pos"])
@@ -233,6 +154,13 @@ def _runner(weights, redacting: bool):
     return run
 
 
+def _spread(rows: DataFrame) -> DataFrame:
+    """Rows dealt out evenly: tagging costs far more than moving the texts, and files may have few parts or uneven ones."""
+    count = partitions_for(rows, TASK_BYTES)
+    dealt = rows.withColumn("_at", F.monotonically_increasing_id())
+    return dealt.repartition(count, "_at").drop("_at")
+
+
 def _weights(spark, path: str | Path | None):
     with open(path or WEIGHTS, "rb") as file:
         return spark.sparkContext.broadcast(file.read())  # some hundred KB, fixed by the model
@@ -243,7 +171,7 @@ def find_personal(documents: DataFrame, weights: str | Path | None = None) -> Da
     spark = documents.sparkSession
     ship(spark)
     rows = documents.filter("doc_id is not null and text is not null").selectExpr("cast(doc_id as long) as doc_id", "text")
-    return rows.mapInArrow(_runner(_weights(spark, weights), False), "doc_id long, kind string, start_pos int, end_pos int")
+    return _spread(rows).mapInArrow(_runner(_weights(spark, weights), False), "doc_id long, kind string, start_pos int, end_pos int")
 
 
 def redact_personal(documents: DataFrame, weights: str | Path | None = None) -> DataFrame:
@@ -251,4 +179,4 @@ def redact_personal(documents: DataFrame, weights: str | Path | None = None) ->
     spark = documents.sparkSession
     ship(spark)
     rows = documents.selectExpr("cast(doc_id as long) as doc_id", "text")
-    return rows.mapInArrow(_runner(_weights(spark, weights), True), "doc_id long, text string")
+    return _spread(rows).mapInArrow(_runner(_weights(spark, weights), True), "doc_id long, text string")

@@ -1,11 +1,13 @@
 """A character-level bidirectional LSTM with CRF transitions, in numpy.
 
-Signs come as small integers, 0 is padding behind a window. Each direction has its own table of gate inputs by
-sign and its own recurrent matrix; the two states of a position give the scores
-of the tags. The CRF lets a span of one kind touch the outside only: O to O, O to
-k, k to k and k to O have learned weights, other steps don't exist. Training
-minimizes the negative log likelihood of whole windows with Adam; decoding is
-Viterbi over a batch of windows at once.
+Signs come as small integers, 0 is padding behind a window. A sign goes in as the
+sum of three short vectors: its own and those that its two neighbours have for this
+place. Both directions run in one loop: arrays are laid out (direction, unit,
+window), so every gate is one contiguous block and all gates take one tanh. The
+two states of a position give the scores of the tags. The CRF lets a span of one
+kind touch the outside only: O to O, O to k, k to k and k to O have learned
+weights, other steps don't exist. Training minimizes the negative log likelihood
+of whole windows with Adam; decoding is Viterbi.
 """
 
 from __future__ import annotations
@@ -13,74 +15,111 @@ from __future__ import annotations
 import numpy as np
 
 FAR = np.float32(-1e4)
+#: Length of the vectors of signs.
+EMBED = 16
 
 
 class Tagger:
-    def __init__(self, signs: int, kinds: int, hidden: int = 32, seed: int = 7):
+    def __init__(self, signs: int, kinds: int, hidden: int = 24, seed: int = 7):
         rng = np.random.default_rng(seed)
         self.signs, self.kinds, self.hidden = signs, kinds, hidden
-        f4 = 4 * hidden
-        self.p = {}
-        for d in "fb":
-            bias = np.zeros(f4)
-            bias[hidden : 2 * hidden] = 1  # gates keep at first
-            self.p[f"x{d}"] = rng.normal(0, 0.3, (signs, f4)) + bias
-            self.p[f"h{d}"] = rng.normal(0, 1 / np.sqrt(hidden), (hidden, f4))
-        self.p["out"] = rng.normal(0, 0.2, (2 * hidden, kinds + 1))
-        self.p["bias"] = np.array([1.0, *[0.0] * kinds])
-        self.p["cross"] = np.array([[0.5, -2.0, 0.5, -0.5]] * kinds)  # of each kind: O to k, k to k, k to O; last: O to O
+        n = hidden
+        gates = rng.normal(0, 0.5, (2, 4 * n, n + EMBED + 1))
+        gates[:, :, :n] = rng.normal(0, 0.5 / np.sqrt(n), (2, 4 * n, n))
+        gates[:, :, -1] = 0
+        gates[:, n : 2 * n, -1] = 0.5  # gates keep at first
+        self.p = {
+            "near": rng.normal(0, 0.3, (3, signs, EMBED)),  # of the sign before, the sign itself, the sign behind
+            "gates": gates,  # in, keep, out, new; the last column is the bias
+            "out": rng.normal(0, 0.2, (kinds + 1, 2 * n)),
+            "bias": np.array([1.0, *[0.0] * kinds]),
+            "cross": np.array([[0.5, -2.0, 0.5, -0.5]] * kinds),  # of each kind: O to k, k to k, k to O; last: O to O
+        }
+        self.p["near"][:, 0] = 0
         self.p = {k: v.astype(np.float32) for k, v in self.p.items()}
 
     # ---- the network
 
-    def _direction(self, x: np.ndarray, d: str, keep: list | None = None) -> np.ndarray:
-        """States (T, B, H) of signs x (T, B); `keep` gets what the gradient needs."""
+    def _inputs(self, x: np.ndarray) -> np.ndarray:
+        """(T, EMBED, B) of signs x (T, B); padding and what is beyond the window's ends count nothing."""
+        near = self.p["near"]
+        e = near[1][x]
+        e[1:] += near[0][x[:-1]]
+        e[:-1] += near[2][x[1:]]
+        return np.ascontiguousarray(e.transpose(0, 2, 1))
+
+    def _states(self, x: np.ndarray, keep: dict | None = None) -> np.ndarray:
+        """States (T, 2, H, B) of signs x (T, B); `keep` gets what the gradient needs."""
         steps, width = x.shape
-        n = self.hidden
-        # one tanh serves all gates: sigmoid(a) = tanh(a / 2) / 2 + 1 / 2
-        scale = np.ones(4 * n, np.float32)
-        scale[: 3 * n] = 0.5
-        table, matrix = self.p[f"x{d}"] * scale, self.p[f"h{d}"] * scale
-        h, c = np.zeros((width, n), np.float32), np.zeros((width, n), np.float32)
-        out = np.empty((steps, width, n), np.float32)
-        z, g = np.empty((width, 4 * n), np.float32), np.empty((width, 4 * n), np.float32)
+        n, gates = self.hidden, self.p["gates"]
+        kind = gates.dtype
+        e = self._inputs(x)
+        into = np.zeros((2, n + EMBED + 1, width), kind)
+        into[:, -1] = 1
+        c, bent = np.zeros((2, n, width), kind), np.empty((2, n, width), kind)
+        z = np.empty((2, 4 * n, width), kind)
+        h = into[:, :n]
+        out = np.empty((steps, 2, n, width), kind)
         pads = x == 0
-        padded = pads.any(1) & (keep is None)
-        for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
-            before = c.copy() if keep is not None else None
-            np.matmul(h, matrix, out=z)
-            np.take(table, x[t], axis=0, out=g)
-            z += g
+        padded = pads.any(1)
+        if keep is not None:
+            keep.update(z=np.empty((steps, 2, 4 * n, width), kind), c=np.empty((steps, 2, n, width), kind), bent=np.empty((steps, 2, n, width), kind), into=np.empty((steps, 2, n + EMBED + 1, width), kind))
+        for t in range(steps):
+            back = steps - 1 - t
+            into[0, n:-1], into[1, n:-1] = e[t], e[back]
+            if keep is not None:
+                keep["into"][t], keep["c"][t] = into, c
+            np.matmul(gates, into, out=z)
             np.tanh(z, out=z)
-            gates = z[:, : 3 * n]
-            gates *= 0.5
-            gates += 0.5
+            z[:, : 3 * n] += 1
             c *= z[:, n : 2 * n]
-            c += z[:, :n] * z[:, 3 * n :]
-            bent = np.tanh(c)
+            np.multiply(z[:, :n], z[:, 3 * n :], out=bent)
+            c += bent
+            c *= 0.5
+            np.tanh(c, out=bent)
+            np.multiply(z[:, 2 * n : 3 * n], bent, out=h)
             if keep is not None:
-                keep.append((t, h, before, z.copy(), bent))
-            h = z[:, 2 * n : 3 * n] * bent
-            if padded[t]:
+                keep["z"][t], keep["bent"][t] = z, bent
+            if padded[back]:
                 # a window starts afresh at its own end, whatever it is batched with
-                h[pads[t]] = 0
-                c[pads[t]] = 0
-            out[t] = h
+                h[1, :, pads[back]] = 0
+                c[1, :, pads[back]] = 0
+            out[t, 0], out[back, 1] = h[0], h[1]
         return out
 
     def scores(self, x: np.ndarray) -> np.ndarray:
-        """Scores (T, B, 1 + kinds) of the tags; tag 0 is outside."""
-        states = [self._direction(x, d) for d in "fb"]
-        n = self.hidden
-        return states[0] @ self.p["out"][:n] + states[1] @ self.p["out"][n:] + self.p["bias"]
+        """Scores (T, 1 + kinds, B) of the tags; tag 0 is outside."""
+        states = self._states(x)
+        return np.matmul(self.p["out"], states.reshape(len(x), 2 * self.hidden, -1)) + self.p["bias"][:, None]
 
     def decode(self, x: np.ndarray) -> np.ndarray:
         """The best tags (T, B)."""
         return self.viterbi(self.scores(x), x == 0)
 
+    def moves(self) -> np.ndarray:
+        """(from, to) weights of all steps; those that don't exist are far below."""
+        cross, tags = self.p["cross"], self.kinds + 1
+        move = np.full((tags, tags), FAR, cross.dtype)
+        move[0, 0] = cross[:, 3].sum()
+        for k in range(self.kinds):
+            move[0, k + 1], move[k + 1, k + 1], move[k + 1, 0] = cross[k, :3]
+        return move
+
+    def margin(self) -> float:
+        """If O leads every kind by more than this at a position, the best path of any text is at O there.
+
+        Going by way of O instead of the kind k costs no more than this, whatever stands before and behind.
+        """
+        move, worst = self.moves(), 0.0
+        for k in range(1, self.kinds + 1):
+            before = max(move[a, k] - move[a, 0] for a in (0, k))
+            behind = max(move[k, b] - move[0, b] for b in (0, k))
+            worst = max(worst, before + behind, before, behind)
+        return float(worst)
+
     def viterbi(self, scores: np.ndarray, pads: np.ndarray) -> np.ndarray:
-        """The best tags (T, B) for scores (T, B, 1 + kinds); `pads` marks what lies behind the ends."""
-        e = scores.transpose(0, 2, 1)
+        """The best tags (T, B) for scores (T, 1 + kinds, B); `pads` marks what lies behind the ends."""
+        e = scores
         steps, _, width = e.shape
         into, stay, leave = (self.p["cross"][:, i, None] for i in range(3))
         quiet = self.p["cross"][:, 3].sum()
@@ -110,97 +149,132 @@ class Tagger:
             tags[t] = tag
             if t:
                 inside = stays[t, np.maximum(tag, 1) - 1, span]
-                tag = np.where(tag == 0, from_o[t], np.where(inside, tag, 0))
+                # behind its end a window waits with the tag it ended in
+                tag = np.where(pads[t], tag, np.where(tag == 0, from_o[t], np.where(inside, tag, 0)))
         return tags
 
     # ---- training
 
     def loss(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        """Mean negative log likelihood a window, and its gradients."""
-        n, kinds = self.hidden, self.kinds
-        keep = {"f": [], "b": []}
-        states = {d: self._direction(x, d, keep[d]) for d in "fb"}
-        both = np.concatenate([states["f"], states["b"]], 2)
-        e = both @ self.p["out"] + self.p["bias"]
-        steps, width, tags = e.shape
-        move = np.full((tags, tags), FAR, np.float32)
-        cross = self.p["cross"]
-        move[0, 0] = cross[:, 3].sum()
-        for k in range(kinds):
-            move[0, k + 1], move[k + 1, k + 1], move[k + 1, 0] = cross[k, 0], cross[k, 1], cross[k, 2]
-        fore = np.empty_like(e)
-        back = np.zeros_like(e)
-        fore[0] = e[0]
-
-        def pool(a: np.ndarray, axis: int) -> np.ndarray:
-            top = a.max(axis, keepdims=True)
-            return np.log(np.exp(a - top).sum(axis)) + top.squeeze(axis)
+        """Mean negative log likelihood a window, and its gradients. Padding must be labelled 0."""
+        n, p = self.hidden, self.p
+        keep: dict = {}
+        states = self._states(x, keep)
+        steps, width = x.shape
+        both = states.reshape(steps, 2 * n, width)
+        e = np.matmul(p["out"], both) + p["bias"][:, None]
+        pads = x == 0
+        if pads.any():
+            e.transpose(0, 2, 1)[pads] = [0, *[-30] * self.kinds]
+        grad_e, grad_move, value = self._crf(e, y)
+        grad_e.transpose(0, 2, 1)[pads] = 0
+        grad = {k: np.zeros_like(v) for k, v in p.items()}
+        grad["out"] = np.matmul(grad_e, both.transpose(0, 2, 1)).sum(0)
+        grad["bias"] = grad_e.sum((0, 2))
+        for k in range(self.kinds):
+            grad["cross"][k] = grad_move[0, k + 1], grad_move[k + 1, k + 1], grad_move[k + 1, 0], grad_move[0, 0]
+        down = np.matmul(p["out"].T, grad_e).reshape(steps, 2, n, width)
+        table = p["gates"].transpose(0, 2, 1)
+        dh, dc = np.zeros((2, n, width), e.dtype), np.zeros((2, n, width), e.dtype)
+        da = np.empty((2, 4 * n, width), e.dtype)
+        de = np.zeros((steps, EMBED, width), e.dtype)
+        padded = pads.any(1)
+        for t in range(steps - 1, -1, -1):
+            back = steps - 1 - t
+            dh[0] += down[t, 0]
+            dh[1] += down[back, 1]
+            if padded[back]:
+                dh[1, :, pads[back]] = 0
+                dc[1, :, pads[back]] = 0
+            z, bent = keep["z"][t], keep["bent"][t]
+            i, f, o, g = z[:, :n], z[:, n : 2 * n], z[:, 2 * n : 3 * n], z[:, 3 * n :]
+            dc += dh * o * (1 - bent * bent)
+            dc *= 0.5
+            np.multiply(dc * g, i * (2 - i), out=da[:, :n])
+            np.multiply(dc * keep["c"][t], f * (2 - f), out=da[:, n : 2 * n])
+            np.multiply(dh * bent, o * (2 - o), out=da[:, 2 * n : 3 * n])
+            np.multiply(dc * i, 1 - g * g, out=da[:, 3 * n :])
+            grad["gates"] += np.matmul(da, keep["into"][t].transpose(0, 2, 1))
+            up = np.matmul(table, da)
+            dh = up[:, :n]
+            dc *= f
+            de[t] += up[0, n:-1]
+            de[back] += up[1, n:-1]
+        flat = de.transpose(0, 2, 1)
+        for j, (signs, part) in enumerate(((x[:-1], flat[1:]), (x, flat), (x[1:], flat[:-1]))):
+            signs = signs.ravel()
+            for c in range(EMBED):
+                grad["near"][j, :, c] = np.bincount(signs, part[:, :, c].ravel(), self.signs)
+        grad["near"][:, 0] = 0
+        return value, grad
 
-        for t in range(1, steps):
-            fore[t] = pool(fore[t - 1][:, :, None] + move, 1) + e[t]
+    def _crf(self, e: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        """Gradients by scores and moves, and the mean loss; scaled sums of products instead of logarithms."""
+        steps, tags, width = e.shape
+        move = self.moves()
+        step = np.exp(move)
+        top = e.max(1, keepdims=True)
+        chance = np.exp(e - top)
+        fore, back = np.empty_like(e), np.empty_like(e)
+        scale = np.empty((steps, width), e.dtype)
+        now = chance[0]
+        for t in range(steps):
+            if t:
+                now = (step.T @ fore[t - 1]) * chance[t]
+            scale[t] = now.sum(0)
+            np.divide(now, scale[t], out=fore[t])
+        back[-1] = 1
         for t in range(steps - 2, -1, -1):
-            back[t] = pool((back[t + 1] + e[t + 1])[:, None, :] + move, 2)
-        whole = pool(fore[-1], 1)
-        gold = np.take_along_axis(e, y[:, :, None].astype(np.int64), 2)[:, :, 0].sum(0) + move[y[:-1], y[1:]].sum(0)
-        grad_e = np.exp(fore + back - whole[None, :, None])
-        np.put_along_axis(grad_e, y[:, :, None].astype(np.int64), np.take_along_axis(grad_e, y[:, :, None].astype(np.int64), 2) - 1, 2)
-        grad_move = np.zeros_like(move)
-        for t in range(1, steps):
-            pair = fore[t - 1][:, :, None] + move + (e[t] + back[t] - whole[:, None])[:, None, :]
-            grad_move += np.exp(pair).sum(0)
-        np.subtract.at(grad_move, (y[:-1].ravel(), y[1:].ravel()), 1)
-        grad_e /= width
-        grad_move /= width
-        grad = {"out": np.tensordot(both, grad_e, ([0, 1], [0, 1])), "bias": grad_e.sum((0, 1)), "cross": np.zeros_like(cross)}
-        for k in range(kinds):
-            grad["cross"][k] = grad_move[0, k + 1], grad_move[k + 1, k + 1], grad_move[k + 1, 0], grad_move[0, 0] / kinds
-        down = grad_e @ self.p["out"].T
-        for d, part in (("f", down[:, :, :n]), ("b", down[:, :, n:])):
-            table, matrix = np.zeros_like(self.p[f"x{d}"]), np.zeros_like(self.p[f"h{d}"])
-            dh, dc = np.zeros((width, n), np.float32), np.zeros((width, n), np.float32)
-            for t, h, before, z, bent in reversed(keep[d]):
-                i, f, o, g = z[:, :n], z[:, n : 2 * n], z[:, 2 * n : 3 * n], z[:, 3 * n :]
-                dh = dh + part[t]
-                dc = dc + dh * o * (1 - bent * bent)
-                dz = np.concatenate([dc * g * i * (1 - i), dc * before * f * (1 - f), dh * bent * o * (1 - o), dc * i * (1 - g * g)], 1)
-                np.add.at(table, x[t], dz)
-                matrix += h.T @ dz
-                dh, dc = dz @ self.p[f"h{d}"].T, dc * f
-            grad[f"x{d}"], grad[f"h{d}"] = table, matrix
-        return float((whole - gold).mean()), grad
-
-    def fit(self, windows: list[tuple[np.ndarray, np.ndarray]], epochs: int = 10, batch: int = 64, rate: float = 0.01, seed: int = 3, say=None) -> list[float]:
-        """Trains on (signs, tags) of windows, those of like length together; the rate falls to a twentieth. Returns the mean losses."""
+            back[t] = (step @ (back[t + 1] * chance[t + 1])) / scale[t + 1]
+        whole = np.log(scale).sum(0) + top.sum((0, 1))
+        column = y[:, None, :].astype(np.int64)
+        gold = np.take_along_axis(e, column, 1).sum((0, 1)) + move[y[:-1], y[1:]].sum(0)
+        grad = fore * back
+        np.put_along_axis(grad, column, np.take_along_axis(grad, column, 1) - 1, 1)
+        ahead = back[1:] * chance[1:] / scale[1:, None, :]
+        pairs = step * np.matmul(fore[:-1], ahead.transpose(0, 2, 1)).sum(0)
+        np.subtract.at(pairs, (y[:-1].ravel(), y[1:].ravel()), 1)
+        return grad / width, pairs / width, float((whole - gold).mean())
+
+    def fit(self, windows, epochs: int = 10, batch: int = 64, rate: float = 0.01, seed: int = 3, workers: int = 1, say=None) -> list[float]:
+        """Trains on (signs, tags) of windows, those of like length together; the rate falls to a twentieth. Returns the mean losses.
+
+        With several workers each of them takes its share of every batch.
+        """
         rng = np.random.default_rng(seed)
-        m = {k: np.zeros_like(w) for k, w in self.p.items()}
-        v = {k: np.zeros_like(w) for k, w in self.p.items()}
         lengths = np.array([len(x) for x, _ in windows])
         step, total, losses = 0, epochs * -(-len(windows) // batch), []
-        for epoch in range(epochs):
-            order = np.argsort(lengths + rng.uniform(0, 8, len(lengths)))
-            groups = [order[at : at + batch] for at in range(0, len(order), batch)]
-            sums = []
-            for g in rng.permutation(len(groups)):
-                rows = groups[g]
-                x = np.zeros((lengths[rows].max(), len(rows)), np.int64)
-                y = np.zeros_like(x)
-                for i, r in enumerate(rows):
-                    x[: lengths[r], i], y[: lengths[r], i] = windows[r]
-                value, grad = self.loss(x, y)
-                sums.append(value)
-                norm = np.sqrt(sum(float((g * g).sum()) for g in grad.values()))
-                step += 1
-                now = rate * (0.05 + 0.95 * 0.5 * (1 + np.cos(np.pi * step / total))) * min(1, step / 50)
-                for k, g in grad.items():
-                    g = g * min(1.0, 5.0 / (norm + 1e-9))
-                    m[k] = 0.9 * m[k] + 0.1 * g
-                    v[k] = 0.999 * v[k] + 0.001 * g * g
-                    self.p[k] -= (now * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
-            losses.append(float(np.mean(sums)))
-            if say:
-                say(f"epoch {epoch + 1}: loss {losses[-1]:.4f}")
+        m = {k: np.zeros_like(w) for k, w in self.p.items()}
+        v = {k: np.zeros_like(w) for k, w in self.p.items()}
+        with _Team(self, windows, workers) as team:
+            for epoch in range(epochs):
+                order = np.argsort(lengths + rng.uniform(0, 8, len(lengths)))
+                groups = [order[at : at + batch] for at in range(0, len(order), batch)]
+                sums = []
+                for g in rng.permutation(len(groups)):
+                    value, grad = team.loss(groups[g])
+                    sums.append(value)
+                    norm = np.sqrt(sum(float((g * g).sum()) for g in grad.values()))
+                    step += 1
+                    now = rate * (0.05 + 0.95 * 0.5 * (1 + np.cos(np.pi * step / total))) * min(1, step / 50)
+                    for k, g in grad.items():
+                        g = g * min(1.0, 5.0 / (norm + 1e-9))
+                        m[k] = 0.9 * m[k] + 0.1 * g
+                        v[k] = 0.999 * v[k] + 0.001 * g * g
+                        self.p[k] -= (now * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
+                losses.append(float(np.mean(sums)))
+                if say:
+                    say(f"epoch {epoch + 1}: loss {losses[-1]:.4f}")
         return losses
 
+    def loss_of(self, windows, rows) -> tuple[float, dict[str, np.ndarray]]:
+        x = np.zeros((max(len(windows[r][0]) for r in rows), len(rows)), np.int64)
+        y = np.zeros_like(x)
+        for i, r in enumerate(rows):
+            signs, tags = windows[r]
+            x[: len(signs), i], y[: len(tags), i] = signs, tags
+        return self.loss(x, y)
+
     # ---- files
 
     def save(self, path: str) -> None:
@@ -214,3 +288,43 @@ class Tagger:
             made = cls(signs, kinds, hidden)
             made.p = {k: held[k].astype(np.float32) for k in made.p}
         return made
+
+
+class _Team:
+    """Processes that each hold the windows and give the gradients of their share of a batch."""
+
+    def __init__(self, tagger: Tagger, windows, workers: int):
+        self.tagger, self.windows, self.number = tagger, windows, workers
+        self.pipes, self.processes = [], []
+
+    def __enter__(self) -> _Team:
+        import multiprocessing
+
+        context = multiprocessing.get_context("fork")
+        for _ in range(self.number if self.number > 1 else 0):
+            here, there = context.Pipe()
+            process = context.Process(target=self._serve, args=(there,), daemon=True)
+            process.start()
+            self.pipes.append(here)
+            self.processes.append(process)
+        return self
+
+    def _serve(self, pipe) -> None:
+        while (job := pipe.recv()) is not None:
+            self.tagger.p, rows = job
+            pipe.send(self.tagger.loss_of(self.windows, rows))
+
+    def loss(self, rows: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+        if not self.pipes:
+            return self.tagger.loss_of(self.windows, rows)
+        shares = [s for s in np.array_split(rows, len(self.pipes)) if len(s)]
+        for pipe, share in zip(self.pipes, shares, strict=False):
+            pipe.send((self.tagger.p, share))
+        got = [pipe.recv() for pipe, _ in zip(self.pipes, shares, strict=False)]
+        weights = [len(s) / len(rows) for s in shares]
+        return sum(w * g[0] for w, g in zip(weights, got, strict=True)), {k: sum(w * g[1][k] for w, g in zip(weights, got, strict=True)) for k in self.tagger.p}
+
+    def __exit__(self, *_) -> None:
+        for pipe, process in zip(self.pipes, self.processes, strict=True):
+            pipe.send(None)
+            process.join()

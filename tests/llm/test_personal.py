@@ -14,7 +14,7 @@ def tagger():
 
 
 def found(tagger, text):
-    return {(shapes.KINDS[k - 1], text[a:b]) for a, b, k in personal.spans(tagger, [text])[0]}
+    return {(personal.KINDS[k - 1], text[a:b]) for a, b, k in personal.spans(tagger, [text])[0]}
 
 
 CASES = [
@@ -37,16 +37,38 @@ def test_spans(tagger, text, want):
     assert found(tagger, text) == want
 
 
+ORDINARY = [
+    ("Her SSN is 123-45-6789 and she lives in Ohio.", {("id_number", "123-45-6789")}),
+    ("We met Priya Raghunathan at the station.", {("name", "Priya Raghunathan")}),
+    ("The letter was signed by Olumide Adeyemi on Friday.", {("name", "Olumide Adeyemi")}),
+    ("He lives at 12 Elm Dr. in Denver now.", {("street", "12 Elm Dr.")}),
+    ("You can mail info@posteo.de for the list.", {("email", "info@posteo.de")}),
+    ("Professor Ostenler and Captain Baker spoke first.", {("name", "Ostenler"), ("name", "Baker")}),
+    ("Call 212-555-0147 or write to jane.doe@firm.co.uk. The office is closed.", {("phone", "212-555-0147"), ("email", "jane.doe@firm.co.uk")}),
+    ("Order No. 4711-22 was shipped in 1987 for 12.50 and see page 45.", set()),
+]
+
+
+@pytest.mark.parametrize("text,want", ORDINARY)
+def test_sentences_unlike_the_pages(tagger, text, want):
+    assert found(tagger, text) == want
+
+
 @pytest.mark.parametrize("text,piece,kind,want", [
-    ("It was won by Captain Rushwick on Monday.", "Rushwick", 5, "Rushwick"),
-    ("A letter from Professor Lee was read.", "Lee", 5, "Lee"),
-    ("Mail to info@firm.co.uk, or write.", "Mail to info@firm.co.uk", 1, "info@firm.co.uk"),
-    ("Write to a.branwick@post.uni-koeln.de. The ferry was late.", "branwick@post.uni", 1, "a.branwick@post.uni-koeln.de"),
-    ("Write to a.branwick@gmail.com.The ferry was late.", "a.branwick@gmail.com", 1, "a.branwick@gmail.com"),
+    ("It was won by Captain Rushwick on Monday.", "Rushwi", 5, "Rushwick"),
+    ("Mail to info@firm.co.uk, or write.", "info@firm.co.uk,", 1, "info@firm.co.uk"),
+    ("Ask (A. Branwick). More", "(A. Branwick).", 5, "A. Branwick"),
+    ("BRANWICK, A. was there", "BRANWICK, A", 5, "BRANWICK, A."),
+    ("Lot at 9 Mill St. near", "9 Mill St.", 4, "9 Mill St."),
+    ("He moved to 9 Mill Lane.", "9 Mill Lane", 4, "9 Mill Lane"),
+    ("Ring (01632) 960913 now", "01632) 960913", 2, "(01632) 960913"),
+    ("Ask Branwick here", "k Bran", 5, "Branwick"),
+    ("Nothing ... here", "...", 5, None),
 ])
-def test_what_the_tagger_found_outside_the_lists_is_kept(text, piece, kind, want):
+def test_spans_keep_to_whole_words_without_punctuation(text, piece, kind, want):
     a = text.index(piece)
-    assert [(text[x:y], k) for x, y, k in personal.settle(text, a, a + len(piece), kind)] == [(want, kind)]
+    got = personal.settle(text, a, a + len(piece), kind)
+    assert (got and text[slice(*got)]) == want
 
 
 def test_windows_are_reconciled_in_overlaps():
@@ -55,18 +77,37 @@ def test_windows_are_reconciled_in_overlaps():
 
     class Sure(Tagger):
         def scores(self, x):
-            e = np.zeros((*x.shape, self.kinds + 1), np.float32)
-            e[:, :, 0] = 1
-            e[first:cut, (x != 0).all(0)] = [0, 0, 0, 0, 0, 100]
+            e = np.zeros((x.shape[0], self.kinds + 1, x.shape[1]), np.float32)
+            e[:, 0] = 1
+            whole = (x != 0).all(0)
+            e[first:cut, 5, whole], e[first:cut, 0, whole] = 100, 0
             return e
 
-    tagger = Sure(pages.SIGNS, len(shapes.KINDS))
+    tagger = Sure(pages.SIGNS, len(personal.KINDS))
     tagger.p["cross"][:] = 0
-    codes = pages.points("x" * 150)
-    tags = pages.tag(tagger, codes, pages.windows(np.array([[0, 150]])))
+    long = pages.WINDOW + 100
+    tags = pages.tag(tagger, pages.points("x" * long), np.array([[0, long]]))
     assert pages.runs(tags).tolist() == [[first, cut, 5]]
 
 
+def test_cutting_where_the_outside_is_sure_changes_no_path(tagger, data):
+    """Tags of whole pages are those of one Viterbi over each page."""
+    texts = [t for t in pq.read_table(f"{data}/documents.parquet", columns=["text"]).to_pydict()["text"] if t][:20] + [c[0] for c in CASES]
+    views = [pages.clean(t)[0] for t in texts]
+    lengths = np.array([len(v) for v in views])
+    starts = np.cumsum(lengths + 1) - lengths - 1
+    spans, codes = np.stack([starts, starts + lengths], 1), pages.points("\0".join(views))
+    rng = np.random.default_rng(0)
+    for blur in (0, 1):  # as they are, and with scores so near each other that nothing is sure for long
+        made = Tagger.load(str(personal.WEIGHTS))
+        made.p["out"] *= 1 - 0.9 * blur
+        made.p["cross"] += (blur * rng.normal(0, 0.5, made.p["cross"].shape)).astype(np.float32)
+        tags, e = pages.tag(made, codes, spans), pages.scores(made, codes, pages.windows(spans))
+        for a, b in spans.tolist():
+            if b > a:
+                assert (tags[a:b] == made.viterbi(np.ascontiguousarray(e[:, a:b].T[:, :, None]), np.zeros((b - a, 1), bool))[:, 0]).all()
+
+
 def test_empty_blank_and_long(tagger):
     assert personal.spans(tagger, ["", " \n", "x"]) == [[], [], []]
     filler = "The river stood at twenty feet and the council was told of it before noon. "
@@ -97,48 +138,79 @@ def test_held_out_accuracy(tagger, data):
     assert all(p > 0.85 and r > 0.85 for p, r, n in scores.values() if n >= 20), scores
 
 
+def test_made_sentences(tagger):
+    scores = train_personal.made_accuracy(tagger, 600)
+    assert all(p > 0.88 and r > 0.88 for p, r, _ in scores.values()), scores
+
+
+def test_made_spans_are_where_they_are_said_to_be():
+    maker = train_personal.Maker(5)
+    for _ in range(200):
+        text, spans = maker.sentence()
+        assert all(0 <= a < b <= len(text) and text[a:b].strip() == text[a:b] for a, b, _ in spans)
+        assert all(x[1] <= y[0] for x, y in zip(spans, spans[1:]))
+    view = "Ask Ard Bran, 7 Mill Street, or a.b@silnet.test."
+    tags = np.zeros(len(view), np.int8)
+    for piece, kind in (("Ard Bran", 5), ("7 Mill Street", 4), ("a.b@silnet.test", 1)):
+        at = view.index(piece)
+        tags[at : at + len(piece)] = kind
+    new, kept = maker.refilled(view, tags, pages.runs(tags).tolist())
+    assert len(new) == len(kept) and [k for *_, k in pages.runs(kept).tolist()] == [5, 4, 1] and new.startswith("Ask ") and new.endswith(".") and "Ard Bran" not in new
+
+
 def test_a_small_tagger_learns():
     lexicon = shapes.Names(NAMES)
     texts = [f"Notice {i}. The prize went to Ard{g} Bran{s} of Weir on Monday. Ask for Drew{s}'s apples here." for i, (g, s) in enumerate([(g, s) for g in ("ane", "ella", "ric", "wyn") for s in ("brook", "quist", "stead", "wick")])]
-    tagger = train_personal.train(texts * 20, lexicon, hidden=16, epochs=15)
+    tagger = train_personal.train(texts * 20, lexicon, hidden=16, epochs=6, batch=64)
     precision, recall, n = train_personal.accuracy(tagger, texts, lexicon)["name"]
     assert n == 16 and precision > 0.9 and recall > 0.9
 
 
+def test_two_workers_give_the_gradient_of_one():
+    rng = np.random.default_rng(1)
+    windows = [(rng.integers(1, 9, 7), rng.integers(0, 2, 7)) for _ in range(10)]
+    one, two = (Tagger(9, 2, 4) for _ in range(2))
+    a, b = one.fit(windows, epochs=2, batch=5), two.fit(windows, epochs=2, batch=5, workers=2)
+    assert np.allclose(a, b, rtol=1e-3) and all(np.allclose(one.p[k], two.p[k], atol=1e-3) for k in one.p)
+
+
 def test_gradient_and_viterbi():
     import itertools
 
     rng = np.random.default_rng(0)
     small = Tagger(9, 2, 4)
     small.p = {k: v.astype(np.float64) for k, v in small.p.items()}
-    x, y = rng.integers(1, 9, (6, 2)), np.array([[0, 1], [1, 1], [1, 0], [0, 0], [2, 0], [2, 2]])
+    x, y = rng.integers(1, 9, (6, 3)), np.array([[0, 1, 0], [1, 1, 0], [1, 0, 0], [0, 0, 2], [2, 0, 2], [2, 2, 0]])
+    x[4:, 1], y[4:, 1] = 0, 0  # a window that ends early
     _, grad = small.loss(x, y)
-    for k in ("hf", "hb", "out", "bias", "cross"):
-        i = (0, *[1] * (small.p[k].ndim - 1))
-        held = small.p[k][i]
-        small.p[k][i] = held + 1e-2
-        up, _ = small.loss(x, y)
-        small.p[k][i] = held - 1e-2
-        down, _ = small.loss(x, y)
-        small.p[k][i] = held
-        assert abs((up - down) / 2e-2 - grad[k][i]) < 2e-3
+    for k in small.p:
+        for i in list(np.ndindex(*small.p[k].shape))[3::7]:
+            if k == "near" and i[1] == 0:
+                continue
+            held = small.p[k][i]
+            small.p[k][i] = held + 1e-5
+            up, _ = small.loss(x, y)
+            small.p[k][i] = held - 1e-5
+            down, _ = small.loss(x, y)
+            small.p[k][i] = held
+            assert abs((up - down) / 2e-5 - grad[k][i]) < 1e-6
     small = Tagger(9, 2, 4)
-    e, cross = small.scores(x), small.p["cross"]
-    move = np.full((3, 3), -1e4)
-    move[0, 0] = cross[:, 3].sum()
-    for k in range(2):
-        move[0, k + 1], move[k + 1, k + 1], move[k + 1, 0] = cross[k, :3]
+    x = rng.integers(1, 9, (6, 2))
+    e, move = small.scores(x), small.moves()
     for b in range(2):
-        best = max(itertools.product(range(3), repeat=6), key=lambda s, b=b: sum(e[i, b, s[i]] for i in range(6)) + sum(move[s[i], s[i + 1]] for i in range(5)))
+        best = max(itertools.product(range(3), repeat=6), key=lambda s, b=b: sum(e[i, s[i], b] for i in range(6)) + sum(move[s[i], s[i + 1]] for i in range(5)))
         assert tuple(small.decode(x)[:, b]) == best
 
 
-def test_windows_cover_regions_once():
-    spans = np.array([[3, 50], [100, 900], [1000, 1112]])
+def test_windows_cover_texts():
+    w, o = pages.WINDOW, pages.OVERLAP
+    spans = np.array([[3, 50], [60, 60], [100, 100 + w], [1000, 1000 + w + 1], [2000, 2000 + 5 * w]])
     cuts = pages.windows(spans)
-    owned = sorted(i for a, b, c, d in cuts.tolist() for i in range(c, d))
-    assert owned == sorted(i for a, b in spans.tolist() for i in range(a, b))
-    assert all(a <= c < d <= b and b - a <= pages.WINDOW for a, b, c, d in cuts.tolist())
+    for a, b in spans.tolist():
+        mine = [c for c in cuts.tolist() if a <= c[0] < b]
+        assert {i for x, y, _ in mine for i in range(x, y)} == set(range(a, b)) and [f for *_, f in mine] == [1, *[0] * (len(mine) - 1)][: len(mine)]
+        assert all(y - x <= w for x, y, _ in mine) and all(q[0] == p[1] - o for p, q in zip(mine, mine[1:]))
+    assert len(pages.windows(np.zeros((0, 2), int))) == 0
 
 
 def test_cleaning_keeps_offsets():
