@@ -11,6 +11,8 @@ import re
 
 import numpy as np
 
+from millrace.llm.tagger import FAR
+
 _LETTERS = "äöüÄÖÜßſéèêëàâáíîïóôúûùçñÉÈÀÁÍÓÚÇÑœ"
 _SIGNS = "—–•£€°§«»„“”’‘¿¡½¼¾©®"
 #: Sign numbers: 0 is padding, 1 any other letter, 2 anything else, then ASCII and what is named above.
@@ -69,9 +71,9 @@ def encode(codes: np.ndarray) -> np.ndarray:
 
 
 #: Length and overlap of windows.
-WINDOW, OVERLAP = 320, 48
+WINDOW, OVERLAP = 1280, 48
 #: Windows that are scored at once.
-BATCH = 160
+BATCH = 192
 
 
 def windows(spans: np.ndarray) -> np.ndarray:
@@ -117,9 +119,9 @@ def scores(tagger, codes: np.ndarray, cuts: np.ndarray) -> np.ndarray:
 def tag(tagger, codes: np.ndarray, spans: np.ndarray) -> np.ndarray:
     """Tags of all signs: the best path over each whole span (start, end), from the merged scores of its windows.
 
-    Where the outside leads by more than any steps can make up for, the best path is
-    outside; there it is cut without changing it, and only the pieces between such
-    places are left to Viterbi.
+    A span's first and last sign count as outside. Where nothing around a sign speaks
+    for a tag (Tagger.open_places), the best path is outside; there it is cut without
+    changing it, and only the pieces between such places are left to Viterbi.
     """
     merged, tags = scores(tagger, codes, windows(spans)), np.zeros(len(codes), np.int8)
     if not len(codes):
@@ -127,30 +129,32 @@ def tag(tagger, codes: np.ndarray, spans: np.ndarray) -> np.ndarray:
     inside = np.zeros(len(codes) + 1, bool)
     for a, b in spans.tolist():
         inside[a:b] = True
-    open_ = (merged[0] - merged[1:].max(0) <= tagger.margin()) & inside[:-1]
+        merged[1:, a : a + 1] = merged[1:, max(a, b - 1) : b] = FAR
+    merged[1:, ~inside[:-1]] = FAR
+    open_ = tagger.open_places(merged) & inside[:-1]
     edge = np.diff(np.concatenate([[0], open_.view(np.int8), [0]]))
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     if not len(starts):
         return tags
     # with one sign of the outside on either side, where the span has one; texts have a sign between them
     low, high = starts - ((starts > 0) & inside[starts - 1]), ends + inside[ends]
-    merged[1:, ~open_] = -1e4
-    for _, place, mine in _batches(np.stack([low, high], 1), 4096):
+    merged[1:, low[low < starts]] = merged[1:, ends[high > ends]] = FAR
+    for place, mine in _batches(np.stack([low, high], 1), 4096):
         best = tagger.viterbi(np.ascontiguousarray(merged[:, np.minimum(place, len(codes) - 1)].transpose(1, 0, 2)), ~mine)
         tags[place[mine]] = best[mine]
     return tags
 
 
-def _batches(spans: np.ndarray, batch: int, most: int = 1_000_000):
-    """(rows, places (T, B), which of them lie inside) of spans of like length, of `most` places if there are several spans."""
+def _batches(spans: np.ndarray, batch: int):
+    """(places (T, B), which of them lie inside) of spans of like length."""
     lengths = spans[:, 1] - spans[:, 0]
     order, at = np.argsort(lengths, kind="stable"), 0
     while at < len(order):
+        most = 8 + lengths[order[at]] * 5 // 4
         rows = order[at : at + batch]
-        fits = np.flatnonzero(lengths[rows] * np.arange(1, len(rows) + 1) <= most)
-        rows = rows[: max(1, len(fits))]
+        rows = rows[lengths[rows] <= most]
         place = spans[rows, 0] + np.arange(int(lengths[rows[-1]]))[:, None]
-        yield rows, place, place < spans[rows, 1]
+        yield place, place < spans[rows, 1]
         at += len(rows)
 
 

@@ -30,7 +30,7 @@ from millrace.session import partitions_for, ship
 
 WEIGHTS = Path(__file__).with_name("personal_weights.npz")
 #: Characters of text that are tagged together.
-CHUNK = 400_000
+CHUNK = 2_000_000
 
 #: The kinds, in the order of the tagger's tags from 1.
 KINDS = ("email", "phone", "id_number", "street", "name")

@@ -105,17 +105,37 @@ class Tagger:
             move[0, k + 1], move[k + 1, k + 1], move[k + 1, 0] = cross[k, :3]
         return move
 
-    def margin(self) -> float:
-        """If O leads every kind by more than this at a position, the best path of any text is at O there.
-
-        Going by way of O instead of the kind k costs no more than this, whatever stands before and behind.
+    def open_places(self, scores: np.ndarray, reach: int = 16) -> np.ndarray:
+        """Where the best path for scores (1 + kinds, N) may be inside a span; everywhere else it is surely outside.
+
+        The path must be outside at both ends. Let a sign's gain be what it adds inside a
+        span of a kind against outside. In the best path a span can't be made better by
+        leaving it earlier, entering it later or breaking it in two. So a sign is outside
+        if every stretch of up to `reach` signs that begins or ends with it loses, and the
+        stretch of `reach` signs on either side loses more than a break costs.
+        Gains are taken from the kind that has most at each sign, which can only leave more open.
         """
-        move, worst = self.moves(), 0.0
-        for k in range(1, self.kinds + 1):
-            before = max(move[a, k] - move[a, 0] for a in (0, k))
-            behind = max(move[k, b] - move[0, b] for b in (0, k))
-            worst = max(worst, before + behind, before, behind)
-        return float(worst)
+        into, stay, leave = (self.p["cross"][:, i].astype(np.float64) for i in range(3))
+        quiet = float(self.p["cross"][:, 3].sum())
+        whole = into + leave - stay - quiet  # what a span gains besides its signs
+        size = scores.shape[1]
+        gain = scores[1] + np.float32(stay[0])
+        for k in range(1, self.kinds):
+            np.maximum(gain, scores[k + 1] + np.float32(stay[k]), out=gain)
+        gain -= scores[0]
+        gain -= np.float32(quiet)
+        total = np.zeros(size + 2 * reach + 1)
+        np.cumsum(gain, dtype=np.float64, out=total[reach + 1 : reach + 1 + size])
+        total[reach + 1 + size :] = total[reach + size]
+        most, least, width = total, total, 1  # of `width` sums from a place on
+        while width < reach:
+            most, least, width = np.maximum(most[:-width], most[width:]), np.minimum(least[:-width], least[width:]), 2 * width
+        now = slice(reach + 1, reach + 1 + size)
+        ahead = most[now.start : now.start + size] - total[now.start - 1 : now.stop - 1]
+        behind = total[now] - least[now.start - width : now.start - width + size]
+        across = total[now.start + reach : now.stop + reach] - total[now.start - reach - 1 : now.stop - reach - 1]
+        least_gain = -1e-3 - max(whole.max(), 0.0)
+        return (ahead >= least_gain) | (behind >= least_gain) | (across >= min(whole.min(), 0.0) - 1e-3)
 
     def viterbi(self, scores: np.ndarray, pads: np.ndarray) -> np.ndarray:
         """The best tags (T, B) for scores (T, 1 + kinds, B); `pads` marks what lies behind the ends."""
@@ -123,34 +143,42 @@ class Tagger:
         steps, _, width = e.shape
         into, stay, leave = (self.p["cross"][:, i, None] for i in range(3))
         quiet = self.p["cross"][:, 3].sum()
-        best_o, best_k = e[0, 0], e[0, 1:].copy()
-        from_o = np.empty((steps, width), np.int8)
-        stays = np.empty((steps, self.kinds, width), bool)
-        options = np.empty((self.kinds + 1, width), np.float32)
+        best_o, best_k = np.empty((steps, width), np.float32), np.empty((steps, self.kinds, width), np.float32)
+        best_o[0], best_k[0] = e[0, 0], e[0, 1:]
+        left, come, top = np.empty((self.kinds, width), np.float32), np.empty((self.kinds, width), np.float32), np.empty(width, np.float32)
         padded = pads.any(1)
         for t in range(1, steps):
-            options[0] = best_o + quiet
-            options[1:] = best_k + leave
-            come, go = best_o + into, best_k + stay
-            np.greater(go, come, out=stays[t])
-            from_o[t] = options.argmax(0)
-            held_k, held_o = best_k, best_o
-            best_k = np.maximum(come, go) + e[t, 1:]
-            best_o = options.max(0) + e[t, 0]
+            o, k = best_o[t - 1], best_k[t - 1]
+            np.add(k, leave, out=left)
+            np.maximum.reduce(left, 0, out=top)
+            np.add(o, quiet, out=best_o[t])
+            np.maximum(best_o[t], top, out=best_o[t])
+            best_o[t] += e[t, 0]
+            np.add(o, into, out=come)
+            np.add(k, stay, out=best_k[t])
+            np.maximum(best_k[t], come, out=best_k[t])
+            best_k[t] += e[t, 1:]
             if padded[t]:
                 m = pads[t]
-                best_k[:, m], best_o[m] = held_k[:, m], held_o[m]
-                stays[t][:, m], from_o[t][m] = True, 0
+                best_o[t, m], best_k[t][:, m] = o[m], k[:, m]
         tags = np.empty((steps, width), np.int8)
-        options[0], options[1:] = best_o, best_k
-        tag = options.argmax(0).astype(np.int64)
-        span = np.arange(width)
-        for t in range(steps - 1, -1, -1):
-            tags[t] = tag
-            if t:
-                inside = stays[t, np.maximum(tag, 1) - 1, span]
-                # behind its end a window waits with the tag it ended in
-                tag = np.where(pads[t], tag, np.where(tag == 0, from_o[t], np.where(inside, tag, 0)))
+        tag = np.concatenate([best_o[-1:], best_k[-1]]).argmax(0)
+        tags[-1] = tag
+        for t in range(steps - 1, 0, -1):
+            o, k = best_o[t - 1], best_k[t - 1]
+            inside = np.flatnonzero(tag)
+            new = np.zeros(width, np.int64)
+            if len(inside):
+                kind = tag[inside] - 1
+                new[inside] = np.where(k[kind, inside] + stay[kind, 0] > o[inside] + into[kind, 0], tag[inside], 0)
+            np.add(k, leave, out=left)
+            from_k = (tag == 0) & (left.max(0) > o + quiet)
+            if from_k.any():
+                new[from_k] = left[:, from_k].argmax(0) + 1
+            if padded[t]:
+                new = np.where(pads[t], tag, new)  # behind its end a window waits with the tag it ended in
+            tag = new
+            tags[t - 1] = tag
         return tags
 
     # ---- training

@@ -78,11 +78,19 @@ def labelled(view: str, lexicon: shapes.Names) -> tuple[np.ndarray, np.ndarray]:
     return tags, doubt
 
 
+#: Length of the windows to train on.
+LENGTH = 320
+
+
 def _cut(view: str, tags: np.ndarray, doubt: np.ndarray | None, shift: int, only_spans: bool = False):
     """Windows (signs, tags) of a page; the first has `shift` signs less."""
+    view = personal.BEFORE + view + personal.BEHIND
+    tags = np.concatenate([np.zeros(len(personal.BEFORE), np.int8), tags, np.zeros(len(personal.BEHIND), np.int8)])
+    if doubt is not None:
+        doubt = np.concatenate([np.zeros(len(personal.BEFORE), bool), doubt, np.zeros(len(personal.BEHIND), bool)])
     codes = pages.encode(pages.points(view))
-    first = max(1, pages.WINDOW - shift)
-    ends = [0, *range(first, len(view), pages.WINDOW), len(view)]
+    first = max(1, LENGTH - shift)
+    ends = [0, *range(first, len(view), LENGTH), len(view)]
     for a, b in zip(ends, ends[1:], strict=False):
         if b > a and not (doubt is not None and doubt[a:b].any()) and not (only_spans and not tags[a:b].any()):
             yield codes[a:b], tags[a:b]
@@ -94,7 +102,7 @@ def _page(job: tuple[int, str]) -> list[tuple[np.ndarray, np.ndarray]]:
     view, _ = pages.clean(text)
     if view:
         tags, doubt = labelled(view, _LEXICON)
-        out += _cut(view, tags, doubt, int(rng.integers(pages.WINDOW)))
+        out += _cut(view, tags, doubt, int(rng.integers(LENGTH)))
         spans = pages.runs(tags).tolist()
         if spans:
             clear = [s for s in spans if not doubt[s[0] : s[1]].any()]
@@ -107,7 +115,7 @@ def _page(job: tuple[int, str]) -> list[tuple[np.ndarray, np.ndarray]]:
                     continue
                 if rate:
                     new, kept = spoil(new, kept, rate * rng.random(), rng)
-                out += _cut(new, kept, None, int(rng.integers(pages.WINDOW)), only_spans=True)
+                out += _cut(new, kept, None, int(rng.integers(LENGTH)), only_spans=True)
             if (tags == 5).any() and rng.random() < CAPITALS and not doubt.any():
                 # names, or whole lines, in capitals are rare but there
                 whole = rng.random() < 0.3
@@ -117,7 +125,7 @@ def _page(job: tuple[int, str]) -> list[tuple[np.ndarray, np.ndarray]]:
         new, kept = maker.paragraph(300)
         if rng.random() < 0.3:
             new, kept = spoil(new, kept, 0.04 * rng.random(), rng)
-        out += _cut(new[: pages.WINDOW], kept[: pages.WINDOW], None, 0)
+        out += _cut(new[:LENGTH], kept[:LENGTH], None, 0)
     return [(x.astype(np.uint8), y.astype(np.int8)) for x, y in out]
 
 
