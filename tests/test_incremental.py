@@ -3,7 +3,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators.incremental import IncrementalView, dyadic_blocks, successful_runs, unread_sequences
+from millrace.errors import InvalidOperation
+from millrace.operators.incremental import IncrementalView, dyadic_blocks, pieces, successful_runs, unread, unread_sequences
 from millrace.session import fresh_path
 
 TABLE = "db_name string, sequence long, content string, readable_at string, listed_at long"
@@ -63,17 +64,40 @@ def test_dyadic_blocks_cover_a_range_once(spark):
 
 def test_only_changed_partitions_are_computed_again(spark):
     rows, runs = random_case(5)
-    view = IncrementalView(spark, fresh_path(spark, "view"), buckets=8)
+    view = IncrementalView(spark, fresh_path(spark, "view"), part_rows=40)
     runs = spark.createDataFrame(runs, RUNS)
     first = view.refresh(tables(spark, rows), runs)
     assert view.refresh(tables(spark, rows[::-1]), runs)["recomputed"] == 0 and first["recomputed"] >= 2
+    assert first["recomputed"] > 4
     more = [*rows, (0, "b", 59, "new", 500)]
     assert view.refresh(tables(spark, more), runs)["recomputed"] == 1
     assert (NAMES[0], "b", 59) in {tuple(r) for r in view.result().collect()}
 
 
+def test_a_run_recomputes_the_partitions_it_reaches_into(spark):
+    rows = [(0, "a", i, "x", 1) for i in range(256)] + [(0, "b", 300, "x", 1)]
+    view = IncrementalView(spark, fresh_path(spark, "view"), part_rows=10)
+    early = [(1, NAMES[0], "a", -1, 64, 5, "success", 1)]
+    first = view.refresh(tables(spark, rows), spark.createDataFrame(early, RUNS))
+    late = [*early, (2, NAMES[0], "a", 64, 90, 5, "success", 1), (3, NAMES[0], "a", 1000, 9000, 5, "success", 1), (4, NAMES[0], "a", 250, 2**62, 0, "failed", 1)]
+    again = view.refresh(tables(spark, rows), spark.createDataFrame(late, RUNS))
+    assert 10 < first["recomputed"] and again["recomputed"] <= 4
+    assert {tuple(r) for r in view.result().collect()} == brute(rows, late)
+
+
+def test_long_runs_and_short_blocks(spark):
+    """Runs over very many blocks are told by nodes over blocks, not by a piece a block."""
+    rng = random.Random(8)
+    rows = [(0, "hot", rng.randrange(0, 4000), rng.choice("xy"), rng.randrange(100)) for _ in range(500)]
+    runs = [(i, NAMES[0], "hot", a := rng.randrange(-10, 4000), a + rng.choice([3, 3, 3, 900, 2**60]), rng.randrange(100), "success", 1) for i in range(40)]
+    got = {tuple(r) for r in unread(tables(spark, rows)[NAMES[0]], successful_runs(spark.createDataFrame(runs, RUNS)), 2).collect()}
+    assert {(NAMES[0], *r) for r in got} == brute(rows, runs)
+    ends, nodes = pieces(successful_runs(spark.createDataFrame(runs, RUNS)), 2)
+    assert ends.count() <= 2 * 40 and nodes.count() <= 40 * 2 * 62
+
+
 def test_a_partition_that_becomes_empty_loses_its_rows(spark):
-    view = IncrementalView(spark, fresh_path(spark, "view"), buckets=4)
+    view = IncrementalView(spark, fresh_path(spark, "view"), part_rows=1)
     none = spark.createDataFrame([], RUNS)
     view.refresh(tables(spark, [(0, "a", 1, "x", 1), (0, "b", 1, "x", 1)]), none)
     view.refresh(tables(spark, [(0, "b", 1, "x", 1)]), none)
@@ -82,7 +106,7 @@ def test_a_partition_that_becomes_empty_loses_its_rows(spark):
 
 def test_a_failed_run_neither_skips_nor_repeats(spark):
     rows, runs = random_case(7)
-    view = IncrementalView(spark, fresh_path(spark, "view"), buckets=8)
+    view = IncrementalView(spark, fresh_path(spark, "view"), part_rows=40)
     frame = spark.createDataFrame(runs, RUNS)
 
     def fail():
@@ -92,6 +116,8 @@ def test_a_failed_run_neither_skips_nor_repeats(spark):
     with pytest.raises(RuntimeError):
         view.refresh(tables(spark, rows), frame, before_commit=fail)
     assert len(view.log()) == 1
+    with pytest.raises(InvalidOperation):  # what an unfinished refresh wrote isn't read
+        view.result()
     view.refresh(tables(spark, rows), frame)
     got = [tuple(r) for r in view.result().collect()]
     assert len(got) == len(set(got)) and set(got) == brute(rows, runs)
