@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from millrace.functions.text import plain_path
 from millrace.operators import changefeed, compaction, hierarchy, incremental, snapdiff
 from millrace.session import fresh_path
 from millrace.sources.tables import load
@@ -82,14 +83,24 @@ def p5_found(spark, d):
 
 
 def p5_files(spark, d):
-    """Files and bytes of each level before and after."""
+    """Files, bytes and records of each level that were packed, and bins over their target."""
     job = compaction.compacted(load(spark, d, "manifest_sstable"), load(spark, d, "sstable_entry"), load(spark, d, "level_target"))
-    return job.files().groupBy("level").agg(
-        F.sum("files_in").alias("files_in"), F.count("*").alias("files_out"), F.sum("bytes_in").alias("bytes_in"), F.sum("n").alias("records"), F.max(F.col("bytes_in") / F.col("target")).alias("fullest")
+    return job.bins().groupBy("level").agg(
+        F.sum("files_in").alias("files_in"), F.sum("bytes_in").alias("bytes_in"), F.coalesce(F.sum("n"), F.lit(0)).alias("records"), F.count_if(F.col("bytes_in") > F.col("target")).alias("overfull")
     )
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_state_counts, p2_found, p2_paths, p2_descendants, p2_looped_paths, p2_back_edges, p3_found, p4_found, p4_second_run, p5_found, p5_files)}
+def kv_manifest_commit(spark, d):
+    """After a compaction and a second one, which has nothing to do: per level the files that stayed, inputs that are still listed, and records in new files."""
+    manifest, entries, targets = load(spark, d, "manifest_sstable"), load(spark, d, "sstable_entry"), load(spark, d, "level_target")
+    job = compaction.compacted(manifest, entries, targets)
+    job.run(manifest, entries, targets)
+    now = compaction.listed_files(job.manifest(manifest))
+    new = now.join(job.files().select("db_name", plain_path(F.col("path")).alias("path"), F.lit(True).alias("new")), ["db_name", "path"], "left").join(job.inputs().select("db_name", "path", F.lit(True).alias("input")), ["db_name", "path"], "left")
+    return new.groupBy("level").agg(F.count_if(F.col("new").isNull()).alias("stayed"), F.count_if("input").alias("inputs_left"), F.coalesce(F.sum(F.when(F.col("new"), F.col("entry_count"))), F.lit(0)).alias("records"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_state_counts, p2_found, p2_paths, p2_descendants, p2_looped_paths, p2_back_edges, p3_found, p4_found, p4_second_run, p5_found, p5_files, kv_manifest_commit)}
 
 _BLANKS = r"'^[\s\p{Z}\x00-\x1f]+|[\s\p{Z}\x00-\x1f]+$', '', 'g'"
 
@@ -228,4 +239,12 @@ where change_kind is not null""",
     "p4_found": _sequences("ingest_run"),
     "p4_second_run": _sequences("ingest_run"),
     "p5_found": f"with {_SMALL} select distinct e.db_name, s.level, hex(e.key) as key_hex, e.sequence from sstable_entry e join small s on e.db_name = s.db_name and {_path('e.path')} = s.path",
+    "p5_files": f"""with {_SMALL},
+held as (select s.level, count(*) as records from (select distinct e.db_name, s.level, e.key, e.sequence from sstable_entry e join small s on e.db_name = s.db_name and {_path('e.path')} = s.path) s group by 1)
+select s.level, count(*) as files_in, cast(sum(s.file_size) as bigint) as bytes_in, coalesce(max(h.records), 0) as records, 0 as overfull
+from small s left join held h on s.level = h.level where s.db_name is not null group by s.level""",
+    "kv_manifest_commit": f"""with {_SMALL},
+held as (select s.level, count(*) as records from (select distinct e.db_name, s.level, e.key, e.sequence from sstable_entry e join small s on e.db_name = s.db_name and {_path('e.path')} = s.path) s group by 1),
+stayed as (select level, count(*) as n from listed where kind = 'addsstable' and (db_name, path) not in (select (db_name, path) from small) group by 1)
+select coalesce(s.level, h.level) as level, coalesce(s.n, 0) as stayed, 0 as inputs_left, coalesce(h.records, 0) as records from stayed s full join held h on s.level = h.level""",
 }

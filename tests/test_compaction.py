@@ -80,6 +80,48 @@ def test_a_damaged_rewrite_is_not_committed(spark, monkeypatch):
     assert job.table.head() is None
 
 
+def test_records_that_the_rewrite_loses_are_noticed(spark, monkeypatch):
+    """Lost between the sources and the writer: only the count of the sources' own records can tell."""
+    manifest, entries = many(20)
+    real = compaction._writer
+    monkeypatch.setattr(compaction, "_writer", lambda root: lambda batches: real(root)(b.slice(1) for b in batches))
+    job = Compactor(spark, fresh_path(spark, "c"))
+    with pytest.raises(CorruptionError):
+        job.run(*frames(spark, manifest, entries))
+    assert job.table.head() is None
+
+
+def test_a_commit_takes_inputs_off_the_manifest_and_a_second_run_does_nothing(spark):
+    manifest, entries = many(30)
+    manifest.append(("hot", 0, "sst/large", 1, 5000, 99, "AddSSTable"))
+    job = Compactor(spark, fresh_path(spark, "c"))
+    first = job.run(*frames(spark, manifest, entries))
+    rows = frames(spark, manifest, entries)
+    assert job.run(*rows)["version"] == first["version"] == 1
+    listed = {r.path for r in compaction.listed_files(job.manifest(rows[0])).collect()}
+    assert {"sst/large", *[compaction_path(r.path) for r in job.files().collect()]} == listed
+    # a later file is compacted alone; what was committed before stays
+    manifest.append(("hot", 0, "./sst/new", 1, 7, 200, "AddSSTable"))
+    manifest.append(("hot", 0, "sst/0", 3, 9, 201, "AddSSTable"))  # listed again after it was replaced
+    entries.append(("hot", "sst/new", b"new", 0, b"", 1))
+    assert job.run(*frames(spark, manifest, entries))["version"] == 2
+    got = [bytes(r.key) for r in job.records().collect()]
+    assert len(got) == len(set(got)) == 91 and b"new" in got
+    assert job.run(*frames(spark, manifest, entries))["version"] == 2
+
+
+def compaction_path(path):
+    return "/".join(x for x in path.split("/") if x not in ("", "."))
+
+
+def test_large_files_are_read_by_spark(spark, monkeypatch):
+    monkeypatch.setattr(compaction, "LARGE", 1)
+    manifest, entries = many(20)
+    job = Compactor(spark, fresh_path(spark, "c"))
+    job.run(*frames(spark, manifest, entries))
+    assert {bytes(r.key) for r in job.records().collect()} == {e[2] for e in entries}
+
+
 def test_empty_tables(spark):
     job = Compactor(spark, fresh_path(spark, "c"))
     job.run(*frames(spark, [], []))
