@@ -13,7 +13,9 @@ on a loop. That takes log2(depth or number of endless nodes) rounds.
 
 A component may be larger than a task should hold. Those over `most_nodes` keep
 out of the traversal: the rounds also add up steps and loop minima, so that root
-and depth are at hand, and paths are made by doubling too.
+and depth are at hand. Sizes of subtrees come from doubling too: each round adds to a node
+what the nodes 2^k below it have; that is one row a node a round. Paths are made only
+if they are asked for.
 
 Defined results: ids are folded (lower case, outer white space off); rows without
 id are no nodes; of several rows of an id the one listed last counts, at equal
@@ -29,11 +31,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from millrace.functions.text import folded
-from millrace.session import materialize, ship
+from millrace.session import discard, materialize, ship
 
 #: Nodes of a component that one task may hold; beyond it the doubling rounds give the result.
 MOST_NODES = 200_000
@@ -56,12 +58,13 @@ def newest_links(rows: DataFrame, node: str = "id", parent: str = "parent_id", l
     return picked.join(known, picked["named"] == known["parent"], "left").select("id", "parent")
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, paths: list[str] | None = None) -> DataFrame:
     """(id, parent, component, root_id, steps, on_loop): component is the root or the loop's least id.
 
-    steps is the distance from the root; null where the parents never end.
+    steps is the distance from the root; null where the parents never end. `paths` gets
+    where the tables of the rounds lie.
     """
-    links = materialize(links, "links")
+    links = materialize(links, "links", paths)
     settled = links.filter(F.col("parent").isNull()).select("id", "parent", F.col("id").alias("root_id"), F.lit(0).cast("long").alias("steps"))
     active = links.filter(F.col("parent").isNotNull()).select("id", "parent", F.col("parent").alias("at"), F.least("id", "parent").alias("least"), F.lit(1).cast("long").alias("steps"))
     reach, left = 1, -1
@@ -72,10 +75,11 @@ def components(links: DataFrame) -> DataFrame:
         merged = active.join(ends.unionByName(hops), "at").select(
             "id", "parent", "root_id", F.col("at2").alias("at"), F.least("least", "least2").alias("least"), (F.col("steps") + F.col("more")).alias("steps")
         )
-        merged = materialize(merged, "doubling")
+        seen = Observation()
+        merged = materialize(merged.observe(seen, F.count_if(F.col("root_id").isNull()).alias("left")), "doubling", paths)
         settled = settled.unionByName(merged.filter(F.col("root_id").isNotNull()).select("id", "parent", "root_id", "steps"))
         active = merged.filter(F.col("root_id").isNull()).drop("root_id")
-        before, left = left, active.count()
+        before, left = left, seen.get["left"]
         reach *= 2
         # a finite node of depth >= reach has an ancestor that the next round settles, so a round that settles none leaves endless nodes only
         if left == 0 or (left == before and reach >= left):
@@ -197,29 +201,46 @@ def _traverser(paths: bool):
     return run
 
 
-def _doubled_paths(nodes: DataFrame, rounds: int) -> DataFrame:
-    """Paths and subtree sizes of components too large for a task, by log2(depth) self-joins."""
+def _doubled_paths(nodes: DataFrame, rounds: int, paths: list[str]) -> DataFrame:
+    """Paths in components too large for a task, by log2(depth) self-joins."""
     walk = nodes.select("id", F.when(~F.col("stop"), F.col("parent")).alias("at"), F.array("id").alias("path"))
     for _ in range(rounds):
         hop = walk.select(F.col("id").alias("at"), F.col("at").alias("at2"), F.col("path").alias("head"))
         walk = materialize(
-            walk.join(hop, "at", "left").select("id", F.when(F.col("at").isNotNull(), F.col("at2")).alias("at"), F.when(F.col("head").isNotNull(), F.concat("head", "path")).otherwise(F.col("path")).alias("path")), "paths"
+            walk.join(hop, "at", "left").select("id", F.when(F.col("at").isNotNull(), F.col("at2")).alias("at"), F.when(F.col("head").isNotNull(), F.concat("head", "path")).otherwise(F.col("path")).alias("path")), "paths", paths
         )
     return walk.select("id", "path")
 
 
+def _doubled_sizes(nodes: DataFrame, rounds: int, paths: list[str]) -> DataFrame:
+    """(id, n): nodes below each node of components too large for a task.
+
+    After k rounds n counts the subtree down to 2^k - 1 levels below; the nodes 2^k below
+    have counted the next 2^k levels.
+    """
+    walk = nodes.select("id", F.when(~F.col("stop"), F.col("parent")).alias("at"), F.lit(1).cast("long").alias("n"))
+    for _ in range(rounds):
+        more = walk.filter(F.col("at").isNotNull()).groupBy(F.col("at").alias("of")).agg(F.sum("n").alias("more"))
+        hop = walk.select(F.col("id").alias("at"), F.col("at").alias("at2"))
+        grown = walk.join(more, F.col("id") == F.col("of"), "left").select("id", "at", (F.col("n") + F.coalesce("more", F.lit(0))).alias("n"))
+        walk = materialize(grown.join(hop, "at", "left").select("id", F.col("at2").alias("at"), "n"), "sizes", paths)
+    return walk.select("id", (F.col("n") - 1).alias("n"))
+
+
 def hierarchy(links: DataFrame, most_nodes: int = MOST_NODES, paths: bool = True) -> DataFrame:
     """(id, parent, component, root_id, depth, path, descendants, back_edge) of every node of `links` (id, parent).
 
     path runs from the root (on and behind a loop: from its least id) to the node;
     without `paths` it is null, which saves the depth of each node in signs.
     """
-    ship(links.sparkSession)
-    labelled = materialize(components(links), "components")
+    spark, used = links.sparkSession, []
+    ship(spark)
+    labelled = materialize(components(links, used), "components")
+    discard(spark, used)
     sizes = labelled.groupBy("component").agg(F.count("*").alias("nodes"))
     large = materialize(sizes.filter(F.col("nodes") > most_nodes), "large")
     some = not large.isEmpty()
-    partitions = int(links.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     small = labelled.join(large, "component", "left_anti") if some else labelled
     traversed = small.select("component", "id", "parent").repartition(partitions, "component").sortWithinPartitions("component", "id").mapInArrow(_traverser(paths), TRAVERSED)
     if not some:
@@ -227,15 +248,18 @@ def hierarchy(links: DataFrame, most_nodes: int = MOST_NODES, paths: bool = True
     stop = F.col("parent").isNull() | (F.col("id") == F.col("root_id"))
     big = materialize(labelled.join(large, "component").withColumn("stop", stop), "big")
     deepest = big.agg(F.max(F.coalesce("steps", "nodes"))).first()[0]
-    walked = _doubled_paths(big, int(deepest).bit_length())
-    below = walked.select(F.explode("path").alias("id")).groupBy("id").agg((F.count("*") - 1).alias("n"))
+    rounds = int(deepest).bit_length()
+    done = materialize(_doubled_sizes(big, rounds, used), "subtrees")
+    discard(spark, used)
     depth = F.when(F.col("steps").isNotNull(), F.col("steps")).when(F.col("on_loop"), F.lit(-1)).otherwise(F.lit(-2)).cast("int")
-    doubled = (
-        big.join(walked, "id").join(below, "id")
-        .select("id", "parent", "component", "root_id", depth.alias("depth"), F.when(F.lit(paths), F.col("path")).alias("path"),
-                F.when(F.col("on_loop"), F.col("nodes") - 1).otherwise(F.col("n")).alias("descendants"),
-                (F.col("on_loop") & (F.col("id") == F.col("root_id"))).alias("back_edge"))
-    )
+    joined, path = big.join(done, "id"), F.lit(None).cast("array<string>")
+    if paths:
+        walked = materialize(_doubled_paths(big, rounds, used), "walked")
+        discard(spark, used)
+        joined, path = joined.join(walked, "id"), F.col("path")
+    doubled = joined.select("id", "parent", "component", "root_id", depth.alias("depth"), path.alias("path"),
+                            F.when(F.col("on_loop"), F.col("nodes") - 1).otherwise(F.col("n")).alias("descendants"),
+                            (F.col("on_loop") & (F.col("id") == F.col("root_id"))).alias("back_edge"))
     return traversed.unionByName(doubled)
 
 

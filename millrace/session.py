@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import time
 import uuid
 import zipfile
 from pathlib import Path
@@ -12,6 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from millrace.errors import InvalidOperation
 
+#: After so long the claim of a writer that hasn't published is taken for that of a dead one.
+CLAIM_SECONDS = 60
+
 
 def local_session(cores: int = 8, app: str = "millrace", **conf: str) -> SparkSession:
     """A session for tests and benchmarks on one machine."""
@@ -53,13 +57,25 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{work_dir(spark)}/millrace/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: cuts lineage and survives lost executors."""
+def materialize(df: DataFrame, name: str, paths: list[str] | None = None) -> DataFrame:
+    """Writes df to the shared folder and reads it back: cuts lineage and survives lost executors.
+
+    `paths` gets where it lies, for callers that know when it may be discarded.
+    """
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
+    if paths is not None:
+        paths.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes written tables that nothing will read any more."""
+    while paths:
+        path = paths.pop()
+        Files(spark, path).delete(path)
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to the Python workers, once a context; in local mode too, as their path may differ from the driver's."""
     context = spark.sparkContext
@@ -85,7 +101,7 @@ def plan_bytes(df: DataFrame) -> int:
 def partitions_for(df: DataFrame, bytes_each: int) -> int:
     """Partitions so that each gets about bytes_each of df, but no fewer than the session's shuffles have."""
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(least, min(200_000, -(-plan_bytes(df) // bytes_each)))
+    return max(least, -(-plan_bytes(df) // bytes_each))
 
 
 class Files:
@@ -121,15 +137,31 @@ class Files:
             stream.close()
 
     def publish(self, text: str, at: str) -> bool:
-        """Creates the file with its whole text or not at all; False if it is there already."""
+        """Creates the file with its whole text or not at all; False if it is there already.
+
+        The text is written under another name first. Where the file system can tell
+        that a rename would overwrite, the rename decides between two writers; where it
+        can't (a local one overwrites), an exclusively created claim does.
+        """
         parent, _, name = at.rpartition("/")
-        held = f"{parent}/.{name}.{uuid.uuid4().hex}"
+        if self.exists(at):
+            return False
+        claim, held = f"{parent}/.{name}.claim", f"{parent}/.{name}.{uuid.uuid4().hex}"
+        try:
+            self._fs.create(self._path(claim), False).close()
+        except Exception as error:  # noqa: BLE001  a Java error that says it exists
+            if not self.exists(claim):
+                raise error
+            if self.exists(at) or self._fs.getFileStatus(self._path(claim)).getModificationTime() > (time.time() - CLAIM_SECONDS) * 1000:
+                return False
+            self._fs.setTimes(self._path(claim), int(time.time() * 1000), -1)  # its writer died before it published
         stream = self._fs.create(self._path(held), True)
         try:
             stream.write(bytearray(text.encode()))
         finally:
             stream.close()
-        if self.exists(at) or not self._fs.rename(self._path(held), self._path(at)):
+        done = not self.exists(at) and self._fs.rename(self._path(held), self._path(at))
+        if not done:
             self._fs.delete(self._path(held), False)
-            return False
-        return True
+        self._fs.delete(self._path(claim), False)
+        return done

@@ -68,6 +68,25 @@ def test_lone_chains_keep_their_deep_nodes(spark, nodes, loop):
     assert got == brute([*chain, *loop])
 
 
+def test_a_long_chain_that_no_task_holds(spark):
+    """Sizes and depths without a path array: one row a node a round."""
+    n = 30_000
+    links = spark.range(n).selectExpr("cast(id as string) as id", "if(id = 0, null, cast(id - 1 as string)) as parent")
+    got = hierarchy(links, most_nodes=1000, paths=False)
+    assert "explode" not in got._jdf.queryExecution().optimizedPlan().toString().lower()
+    wrong = got.filter(f"root_id <> '0' or depth <> cast(id as int) or descendants <> {n - 1} - cast(id as int) or path is not null")
+    assert got.count() == n and wrong.count() == 0
+
+
+def test_written_tables_of_the_rounds_are_deleted(spark):
+    from millrace.session import Files, work_dir
+
+    at = f"{work_dir(spark)}/millrace"
+    before = set(Files(spark, at).names(at))
+    tree(spark, [(f"c{i:03d}", f"c{i - 1:03d}" if i else None) for i in range(60)], most_nodes=20).count()
+    assert not [x for x in set(Files(spark, at).names(at)) - before if x.startswith(("doubling", "sizes", "paths"))]
+
+
 def test_rows_are_folded_and_the_last_listed_counts(spark):
     rows = [(" A1 ", "zz", 1, 1, "", ""), ("a1", "\tB2 ", 2, 1, "", ""), ("b2", None, 1, 1, "", ""), ("b2", "", 3, 2, "", ""), ("B2", "a1", 3, 1, "", ""), (None, "a1", 1, 1, "", "")]
     got = {r.id: (r.root_id, r.depth) for r in hierarchy(newest_links(spark.createDataFrame(rows, ROWS)), paths=False).collect()}
