@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from millrace.errors import CorruptionError, NotFound
 from millrace.operators.compaction import _open
 from millrace.operators.neighbours import with_neighbours
-from millrace.session import Files, ship
+from millrace.session import Files, materialize, ship
 
 FILES = "relative_path string, size long, modified long, checksum long"
 PIECE = 8 << 20
@@ -89,10 +89,13 @@ class Snapshots:
         """A full snapshot, or one of the files changed since its parent."""
         number = f"{time.time_ns() // 1_000_000:013d}-{uuid.uuid4().hex[:8]}"
         listed = self._list(source, include_log)
-        if parent:
-            hashed = listed.mapInArrow(_copier(source, None), FILES)
-            listed = changed_files(hashed, self.manifest(parent)).select("relative_path", "modified")
         folder = f"{self.root}/{number}"
+        if parent:
+            # read once for their checksums; those that differ from what the parent's chain gives are copied
+            hashed = materialize(listed.mapInArrow(_copier(source, None), FILES), "hashed")
+            known = self.whole(parent)
+            listed = changed_files(hashed, known).select("relative_path", "modified")
+            known.select("relative_path").join(hashed.select("relative_path"), "relative_path", "left_anti").write.parquet(f"{folder}/deleted")
         copied = listed.mapInArrow(_copier(source, f"{folder}/files"), FILES)
         copied.write.parquet(f"{folder}/manifest")
         total = self.spark.read.parquet(f"{folder}/manifest").agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
@@ -118,17 +121,41 @@ class Snapshots:
         self.files.delete(f"{self.root}/_catalogue/{number}.json")
         self.files.delete(f"{self.root}/{number}")
 
-    def restore(self, number: str, target: str) -> int:
-        """Copies the files of a snapshot, and of those it builds on, to the target and checks them; returns their number."""
+    def deleted(self, number: str) -> DataFrame:
+        """(relative_path) of files that the parent's chain has and the snapshot has not."""
+        if self.get(number)["parent_id"] is None:
+            return self.spark.createDataFrame([], "relative_path string")
+        return self.spark.read.schema("relative_path string").parquet(f"{self.root}/{number}/deleted")
+
+    def chain(self, number: str) -> list[dict]:
+        """The snapshot and those it builds on, the full one first."""
         chain = [self.get(number)]
         while chain[-1]["parent_id"]:
             chain.append(self.get(chain[-1]["parent_id"]))
+        return chain[::-1]
+
+    def whole(self, number: str) -> DataFrame:
+        """(relative_path, size, modified, checksum, snapshot_id) of all files of a snapshot, and which snapshot of its chain holds each."""
+        rows = None
+        for place, meta in enumerate(self.chain(number)):
+            own = self.manifest(meta["id"]).withColumns({"snapshot_id": F.lit(meta["id"]), "_place": F.lit(place), "_there": F.lit(True)})
+            gone = self.deleted(meta["id"]).select("relative_path", *[F.lit(None).cast(t).alias(c) for c, t in (("size", "long"), ("modified", "long"), ("checksum", "long"))]).withColumns({"snapshot_id": F.lit(meta["id"]), "_place": F.lit(place), "_there": F.lit(False)})
+            both = own.unionByName(gone)
+            rows = both if rows is None else rows.unionByName(both)
+        columns = ["_there", "size", "modified", "checksum", "snapshot_id"]
+        last = rows.groupBy("relative_path").agg(F.max(F.struct("_place", *columns)).alias("row"))
+        return last.filter("row._there").select("relative_path", *[f"row.{c}" for c in columns[1:]])
+
+    def restore(self, number: str, target: str) -> int:
+        """Copies the files that a snapshot stands for, each from the snapshot of its chain that holds it, to the target and checks them; returns their number."""
+        wanted = materialize(self.whole(number), "wanted")
         count = 0
-        for meta in reversed(chain):
-            wanted = self.manifest(meta["id"])
-            copied = wanted.select("relative_path", "modified").mapInArrow(_copier(f"{self.root}/{meta['id']}/files", target), FILES)
-            bad = copied.alias("c").join(wanted.alias("w"), "relative_path", "full").filter("not (c.checksum <=> w.checksum) or not (c.size <=> w.size)").limit(3).collect()
+        for meta in self.chain(number):
+            mine = wanted.filter(F.col("snapshot_id") == meta["id"])
+            copied = mine.select("relative_path", "modified").mapInArrow(_copier(f"{self.root}/{meta['id']}/files", target), FILES)
+            checked = materialize(copied.alias("c").join(mine.alias("w"), "relative_path", "full").selectExpr("relative_path", "(c.checksum <=> w.checksum) and (c.size <=> w.size) as right"), "checked")
+            bad = checked.filter("not right").limit(3).collect()
             if bad:
                 raise CorruptionError(f"files don't have their checksums: {[r['relative_path'] for r in bad]}")
-            count += meta["files"]
+            count += checked.count()
         return count

@@ -12,7 +12,8 @@ the delete may still arrive. The same upsert runs first in each map task, as a
 combiner, so that a key sends one row per task through the shuffle, however hot
 it is; then once per bucket, a hash partition of the keys. The buckets are
 written to a new folder of a versioned table, which one rename publishes. A
-later feed reads and rewrites only the buckets that it touches.
+later feed reads and rewrites only the buckets that it touches. When the state has
+outgrown its buckets, the next feed lays all of it out in more of them.
 
 Defined results: a change with a null key, eff or live is no change; an empty
 feed gives an empty table; of changes with equal (eff, tie) a put goes before
@@ -31,11 +32,11 @@ from pyspark.sql import types as T
 
 from millrace.errors import NotFound
 from millrace.functions.text import folded
-from millrace.session import fresh_path, partitions_for, ship
+from millrace.session import discard, fresh_path, materialize, partitions_for, ship
 from millrace.sources.versioned import VersionedTable
 
-#: Bytes of planned input that one bucket gets; its state then fits a worker's memory.
-BUCKET_BYTES = 32 << 20
+#: Bytes of Parquet that one bucket gets; its state, some ten times that, then fits a worker's memory. DuckDB may not spill.
+BUCKET_BYTES = 16 << 20
 #: Keys that a combiner holds before it hands them on.
 COMBINER_KEYS = 500_000
 
@@ -70,7 +71,7 @@ class _State:
             f"QUALIFY row_number() OVER (PARTITION BY {key} ORDER BY eff DESC, tie DESC, live DESC{tail}) = 1 "
             f"ON CONFLICT ({key}) DO UPDATE SET " + ", ".join(f'"{x}" = excluded."{x}"' for x in rest) + f" WHERE {later}"
         )
-        self.db = duckdb.connect(":memory:", config={"threads": 1, "preserve_insertion_order": False, "memory_limit": "1GB"})
+        self.db = duckdb.connect(":memory:", config={"threads": 1, "preserve_insertion_order": False, "memory_limit": "1GB", "temp_directory": ""})
         self.db.execute(self.create)
 
     def add(self, batch: pa.RecordBatch) -> None:
@@ -117,19 +118,19 @@ def _whole(changes: DataFrame, keys: Sequence[str], payload: Sequence[str]) -> D
     return rows.withColumn("tie", F.coalesce("tie", F.lit(-(2**63))))
 
 
-def latest_changes(changes: DataFrame, keys: Sequence[str], payload: Sequence[str] = (), buckets: int | None = None, prior: DataFrame | None = None) -> DataFrame:
-    """One row for each key: its last change, tombstones included; laid out by bucket.
+def _combined(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """At most a row a key and task, of rows that are whole."""
+    ship(rows.sparkSession)
+    return rows.mapInArrow(_upserter(rows.schema, list(keys), COMBINER_KEYS), rows.schema)
 
-    `prior` is a state of the same columns, which needs no combining.
-    """
-    ship(changes.sparkSession)
-    rows = _whole(changes, keys, payload)
-    schema = rows.schema
-    combined = rows.mapInArrow(_upserter(schema, list(keys), COMBINER_KEYS), schema)
-    if prior is not None:
-        combined = combined.unionByName(prior.select(*schema.names))
-    count = buckets or partitions_for(changes, BUCKET_BYTES)
-    return combined.repartitionById(count, bucket_of(keys, count)).mapInArrow(_upserter(schema, list(keys), None), schema)
+
+def _settled(combined: DataFrame, keys: Sequence[str], count: int) -> DataFrame:
+    return combined.repartitionById(count, bucket_of(keys, count)).mapInArrow(_upserter(combined.schema, list(keys), None), combined.schema)
+
+
+def latest_changes(changes: DataFrame, keys: Sequence[str], payload: Sequence[str] = (), buckets: int | None = None) -> DataFrame:
+    """One row for each key: its last change, tombstones included; laid out by bucket."""
+    return _settled(_combined(_whole(changes, keys, payload), keys), keys, buckets or partitions_for(changes, BUCKET_BYTES))
 
 
 def bucket_of(keys: Sequence[str], buckets: int) -> Column:
@@ -139,12 +140,13 @@ def bucket_of(keys: Sequence[str], buckets: int) -> Column:
 class ChangeFeedTable:
     """A table kept by applying change feeds to it; any order of the feeds gives the same state.
 
-    The number of buckets is fixed by the first feed (or given) and kept with the
-    table; every commit names the folder of each bucket.
+    The number of buckets comes from the first feed (or is given) and is kept with the
+    table, which lays itself out anew when feeds and state have outgrown it; every
+    commit names the folder and size of each bucket.
     """
 
-    def __init__(self, spark: SparkSession, root: str, keys: Sequence[str], payload: Sequence[str] = (), buckets: int | None = None):
-        self.keys, self.payload, self.buckets = list(keys), list(payload), buckets
+    def __init__(self, spark: SparkSession, root: str, keys: Sequence[str], payload: Sequence[str] = (), buckets: int | None = None, bucket_bytes: int = BUCKET_BYTES):
+        self.keys, self.payload, self.buckets, self.bucket_bytes = list(keys), list(payload), buckets, bucket_bytes
         self.table = VersionedTable(spark, root)
         self.spark = spark
 
@@ -155,23 +157,35 @@ class ChangeFeedTable:
     def schema(self) -> T.StructType:
         return T.StructType.fromJson(self.table.head()["schema"])
 
-    def apply(self, changes: DataFrame) -> dict:
-        """Applies the feed to the current version and publishes the next one, all touched buckets at once."""
-        feed = _whole(changes, self.keys, self.payload)
-        onto = self.table.head()
+    def apply(self, changes: DataFrame, **facts) -> dict:
+        """Applies the feed to the current version and publishes the next one, all touched buckets at once; `facts` are published with it."""
+        feed = _combined(_whole(changes, self.keys, self.payload), self.keys)
+        onto, used = self.table.head(), []
         places: dict[str, str] = dict(onto["places"]) if onto else {}
-        count = onto["buckets"] if onto else self.buckets or partitions_for(changes, BUCKET_BYTES)
-        prior = None
+        sizes: dict[str, int] = dict(onto["sizes"]) if onto else {}
+        count = onto["buckets"] if onto else self.buckets or partitions_for(changes, self.bucket_bytes)
         if places:
-            # at most as many numbers as there are buckets
-            touched = {str(r[0]) for r in feed.select(bucket_of(self.keys, count)).distinct().collect()} & places.keys()
-            prior = self._read({k: places[k] for k in touched}) if touched else None
+            feed = materialize(feed, "feed", used)  # once, for its buckets and for the state
+            needed = -(-(sum(sizes.values()) + self.table.files.size(used[0])) // self.bucket_bytes)
+            if needed > 2 * count:
+                count, touched = 1 << int(needed - 1).bit_length(), set(places)
+                held, places, sizes = places, {}, {}
+            else:
+                # at most as many numbers as there are buckets
+                held = places
+                touched = {str(r[0]) for r in feed.select(bucket_of(self.keys, count)).distinct().collect()} & places.keys()
+            if touched:
+                feed = feed.unionByName(self._read({k: held[k] for k in touched}).select(*feed.columns))
         folder = self.table.new_folder()
-        state = latest_changes(feed, self.keys, self.payload, count, prior)
+        state = _settled(feed, self.keys, count)
         state.withColumn("bucket", bucket_of(self.keys, count)).write.partitionBy("bucket").parquet(folder)
-        written = [x.partition("=")[2] for x in self.table.files.names(folder) if x.startswith("bucket=")]
-        places.update(dict.fromkeys(written, folder))
-        return self.table.commit(folder, onto, buckets=count, places=places, schema=feed.schema.jsonValue())
+        for name in self.table.files.names(folder):
+            if name.startswith("bucket="):
+                k = name.partition("=")[2]
+                places[k], sizes[k] = folder, self.table.files.size(f"{folder}/{name}")
+        entry = self.table.commit(folder, onto, buckets=count, places=places, sizes=sizes, schema=feed.schema.jsonValue(), **facts)
+        discard(self.spark, used)
+        return entry
 
     def state(self) -> DataFrame:
         """The last change of every key, with tombstones."""

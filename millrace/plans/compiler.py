@@ -91,7 +91,10 @@ class Predicates:
                 return column.contains(pattern.replace("%", "")) if family == "string" else F.lit(False)
             case ast.Among(part, values):
                 column, family = self.operand(part)
-                fitting = [v.value for v in values if v.value is not None and _literal_family(v.value) == family]
+                accepted = {family, "string"} if family == "time" else {family}  # a time may be written as a string
+                fitting = [v.value for v in values if v.value is not None and _literal_family(v.value) in accepted]
+                if family == "time":
+                    fitting = [F.lit(v).cast(self.scope.find(part.text).kind) for v in fitting]
                 test = column.isin(fitting) if fitting else F.lit(False)
                 return test | column.isNull() if any(v.value is None for v in values) else test
             case ast.Between(part, low, high):

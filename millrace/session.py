@@ -124,6 +124,10 @@ class Files:
     def delete(self, at: str) -> bool:
         return self._fs.delete(self._path(at), True)
 
+    def size(self, at: str) -> int:
+        """Bytes of all files below a folder."""
+        return self._fs.getContentSummary(self._path(at)).getLength() if self.exists(at) else 0
+
     def names(self, at: str) -> list[str]:
         if not self.exists(at):
             return []
@@ -147,14 +151,8 @@ class Files:
         if self.exists(at):
             return False
         claim, held = f"{parent}/.{name}.claim", f"{parent}/.{name}.{uuid.uuid4().hex}"
-        try:
-            self._fs.create(self._path(claim), False).close()
-        except Exception as error:  # noqa: BLE001  a Java error that says it exists
-            if not self.exists(claim):
-                raise error
-            if self.exists(at) or self._fs.getFileStatus(self._path(claim)).getModificationTime() > (time.time() - CLAIM_SECONDS) * 1000:
-                return False
-            self._fs.setTimes(self._path(claim), int(time.time() * 1000), -1)  # its writer died before it published
+        if not self._claim(claim):
+            return False
         stream = self._fs.create(self._path(held), True)
         try:
             stream.write(bytearray(text.encode()))
@@ -165,3 +163,27 @@ class Files:
             self._fs.delete(self._path(held), False)
         self._fs.delete(self._path(claim), False)
         return done
+
+    def _claim(self, at: str) -> bool:
+        """Creates an empty file; False if it is there, unless the writer that made it is long dead."""
+        path = self._path(at)
+        if self._fs.getScheme() == "file":
+            made = self._jvm.java.io.File(path.toUri().getPath()).createNewFile()  # atomic, where the file system's own create is not
+        else:
+            try:
+                self._fs.create(path, False).close()
+                made = True
+            except Exception:  # noqa: BLE001  a Java error; whether it means that the file is there is asked next
+                if not self.exists(at):
+                    raise
+                made = False
+        if made:
+            return True
+        try:
+            age = time.time() - self._fs.getFileStatus(path).getModificationTime() / 1000
+        except Exception:  # noqa: BLE001  its writer is done with it
+            return False
+        if age < CLAIM_SECONDS:
+            return False
+        self._fs.delete(path, False)
+        return self._claim(at)

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from millrace.operators.changefeed import ChangeFeedTable
-from millrace.sources.versioned import VersionedTable
 
 
 def read_log(spark: SparkSession, path: str, schema: str, files_per_batch: int = 1000) -> DataFrame:
@@ -20,21 +19,16 @@ def read_log(spark: SparkSession, path: str, schema: str, files_per_batch: int =
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
-def keep_current(changes: DataFrame, table: ChangeFeedTable, checkpoint: str, progress: VersionedTable | None = None, once: bool = True) -> StreamingQuery:
+def keep_current(changes: DataFrame, table: ChangeFeedTable, checkpoint: str, once: bool = True) -> StreamingQuery:
     """Applies a stream of (keys, eff, tie, live, payload) to the table.
 
     `once` takes what is there and ends; otherwise the stream goes on.
     """
 
     def apply(batch: DataFrame, number: int) -> None:
-        if progress is not None:
-            head = progress.head()
-            if head is not None and head["batch"] >= number:
-                return
-            table.apply(batch)
-            progress.replace(batch.sparkSession.range(1), batch=number)
-        else:
-            table.apply(batch)
+        head = table.table.head()
+        if head is None or head.get("batch", -1) < number:
+            table.apply(batch, batch=number)
 
     writer = changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

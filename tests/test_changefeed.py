@@ -57,6 +57,19 @@ def test_a_feed_rewrites_only_its_buckets(spark):
     assert len(moved) == 1 and table.current().count() == 99
 
 
+def test_a_table_that_was_born_small_gets_more_buckets(spark):
+    path = fresh_path(spark, "feed")
+    spark.range(20_000).selectExpr("concat('k', id) as k", "id % 7 as eff", "0L as tie", "id % 5 > 0 as live", "uuid() as v").write.parquet(path)
+    large = spark.read.parquet(path)
+    table = ChangeFeedTable(spark, fresh_path(spark, "t"), ["k"], ["v"], buckets=2, bucket_bytes=50_000)
+    first = table.apply(spark.createDataFrame([(f"k{i}", 9, 0, True, "x", 0) for i in range(200)], FEED))
+    second = table.apply(large)
+    assert first["buckets"] == 2 and second["buckets"] >= 8 and len(set(second["places"].values())) == 1
+    state = {r.k: (r.eff, r.live) for r in table.state().collect()}
+    assert len(state) == 20_000 and all(state[f"k{i}"] == ((9, True) if i < 200 else (i % 7, i % 5 > 0)) for i in range(20_000))
+    assert table.apply(spark.createDataFrame([("k0", 10, 0, False, None, 0)], FEED))["buckets"] == second["buckets"] and table.current().count() == 16_039
+
+
 def test_an_unpublished_write_is_not_seen(spark):
     table = ChangeFeedTable(spark, fresh_path(spark, "t"), ["k"], ["v"])
     table.apply(spark.createDataFrame([("a", 1, 0, True, "x", 0)], FEED))

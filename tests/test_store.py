@@ -9,8 +9,7 @@ from millrace import errors
 from millrace.database import Database
 from millrace.operators import backup, index, kv, mvcc, wal
 from millrace.operators.changefeed import ChangeFeedTable
-from millrace.session import fresh_path
-from millrace.sources.versioned import VersionedTable
+from millrace.session import Files, fresh_path
 from millrace.streaming.changelog import keep_current, read_log, windowed_counts
 
 
@@ -164,7 +163,15 @@ def test_backup_and_restore(spark, tmp_path):
     (source / "MANIFEST").write_bytes(b"M")
     more = keeper.create(f"file://{source}", parent=full["id"], include_log=False)
     assert {r.relative_path for r in keeper.manifest(more["id"]).collect()} == {"MANIFEST", "sst/b.sst"} and more["snapshot_type"] == "incremental"
-    assert keeper.restore(more["id"], f"file://{tmp_path}/out") == 5
+    # with the log left out, what the parent has of it is gone in the child
+    assert keeper.restore(more["id"], f"file://{tmp_path}/out") == 3 and not (tmp_path / "out" / "wal").exists()
+    (source / "sst" / "a.sst").unlink()
+    (source / "c").write_bytes(b"c")
+    third = keeper.create(f"file://{source}", parent=more["id"], include_log=False)
+    assert {r.relative_path for r in keeper.manifest(third["id"]).collect()} == {"c"} and {r.relative_path for r in keeper.deleted(third["id"]).collect()} == {"sst/a.sst"}
+    assert keeper.restore(third["id"], f"file://{tmp_path}/out3") == 3
+    assert sorted(str(x.relative_to(tmp_path / "out3")) for x in (tmp_path / "out3").rglob("*") if x.is_file() and not x.name.startswith(".")) == ["MANIFEST", "c", "sst/b.sst"]
+    keeper.delete(third["id"])
     assert (tmp_path / "out" / "MANIFEST").read_bytes() == b"M" and (tmp_path / "out" / "sst" / "a.sst").read_bytes() == b"a" * 1000
     (tmp_path / "backup" / full["id"] / "files" / "MANIFEST").write_bytes(b"?")
     with pytest.raises(errors.CorruptionError):
@@ -175,6 +182,43 @@ def test_backup_and_restore(spark, tmp_path):
         keeper.get(more["id"])
 
 
+def test_a_segmented_log(spark):
+    rows = [(i, "put", None, f"k{i % 9}".encode(), bytes(100)) for i in range(1, 201)]
+    log = wal.SegmentedLog(spark, fresh_path(spark, "wal"), segment_bytes=2000)
+    log.append(spark.createDataFrame(rows[:150], WAL))
+    log.append(spark.createDataFrame(rows[150:], WAL))
+    held = log.segments()
+    assert 12 <= len(held) <= 16 and sum(x["records"] for x in held) == 200 and all(x["bytes"] <= 2000 + 140 for x in held)
+    assert all(a["last"] + 1 == b["first"] for a, b in zip(held, held[1:])) and held[0]["name"] == "wal-0000000000000001.log"
+    assert {r.seq for r in log.read().collect()} == set(range(1, 201)) and {r.seq for r in log.read(77).collect()} == set(range(77, 201))
+    assert {r.seq for r in log.seek(held[3]["name"]).collect()} == set(range(held[3]["first"], 201))
+    gone = log.cleanup_before(held[5]["first"])
+    assert gone == 5 and min(r.seq for r in log.read().collect()) == held[5]["first"] and not log.table.files.exists(held[0]["folder"])
+    with pytest.raises(errors.NotFound):
+        log.seek(held[0]["name"])
+    assert log.cleanup_all() == len(held) - 5 and log.read().count() == 0 and log.segments() == []
+    log.append(spark.createDataFrame([], WAL))
+    assert log.segments() == []
+
+
+def test_a_damaged_log_leaves_the_others_whole(spark):
+    log = wal.sealed(spark.createDataFrame([(d, i, "put", None, b"k", b"v") for d in "ab" for i in range(5)], f"db string, {WAL}"))
+    broken = log.withColumn("crc", F.when((F.col("db") == "a") & (F.col("seq") == 2), F.lit(0)).otherwise(F.col("crc")))
+    assert sorted((r.db, r.seq) for r in wal.intact(broken, "db").collect()) == [("a", 0), ("a", 1), *[("b", i) for i in range(5)]]
+
+
+def test_of_two_writers_one_commits(spark):
+    from concurrent.futures import ThreadPoolExecutor
+
+    files = Files(spark, fresh_path(spark, "x"))
+    for n in range(15):
+        at = fresh_path(spark, "claims")
+        files.mkdirs(at)
+        with ThreadPoolExecutor(4) as pool:
+            done = list(pool.map(lambda i: files.publish(f"writer {i}", f"{at}/1.json"), range(4)))
+        assert sum(done) == 1 and files.read(f"{at}/1.json") == f"writer {done.index(True)}"
+
+
 def test_chains(spark):
     rows = [("a", None, "full", 1), ("b", "a", "incremental", 2), ("c", "a", "incremental", 3), ("d", None, "full", 4), ("e", None, "incremental", 5)]
     broken = backup.chain_breaks(spark.createDataFrame(rows, "id string, parent_id string, snapshot_type string, sequence long"))
@@ -185,12 +229,14 @@ def test_a_stream_of_changes(spark, tmp_path):
     schema = "k string, eff long, tie long, live boolean, v string, at timestamp"
     folder = f"file://{tmp_path}/log"
     table = ChangeFeedTable(spark, fresh_path(spark, "t"), ["k"], ["v"], buckets=3)
-    progress = VersionedTable(spark, fresh_path(spark, "p"))
     for batch in ([("a", 2, 0, True, "new")], [("a", 1, 0, True, "old"), ("b", 1, 0, True, "x")], [("b", 2, 0, False, None)]):
         spark.createDataFrame(batch, "k string, eff long, tie long, live boolean, v string").withColumn("at", F.lit("2024-01-01").cast("timestamp")).write.mode("append").parquet(folder)
-        query = keep_current(read_log(spark, folder, schema), table, f"{tmp_path}/check", progress)
+        query = keep_current(read_log(spark, folder, schema), table, f"{tmp_path}/check")
         query.awaitTermination(60)
     assert {(r.k, r.v) for r in table.current().collect()} == {("a", "new")}
+    assert table.table.head()["batch"] == 2  # published with the version
+    keep_current(read_log(spark, folder, schema), table, f"{tmp_path}/check-again").awaitTermination(60)  # batch 0 again: it is left out
+    assert table.table.head()["version"] == 3
     assert windowed_counts(spark.read.schema(schema).parquet(folder), "at").agg(F.sum("n")).first()[0] == 4
 
 
