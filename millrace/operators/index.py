@@ -60,13 +60,14 @@ def lookup_join(left: DataFrame, index: DataFrame, left_key: str) -> DataFrame:
 class Indexes:
     """Named indexes; changes gather on the driver and join the table in batches."""
 
-    BATCH = 10_000
+    BATCH, BATCH_BYTES = 10_000, 4 << 20
 
     def __init__(self, spark):
         self.spark = spark
         self.kinds: dict[str, str] = {}
         self.tables: dict[str, DataFrame] = {}
         self.pending: dict[str, list[tuple]] = {}
+        self.bytes: dict[str, int] = {}
         self.seq = 0
         self.schema = "seq long, op string, key binary, row_id long"
 
@@ -93,7 +94,8 @@ class Indexes:
         self._known(name)
         self.seq += 1
         self.pending[name].append((self.seq, op, bytearray(key), row_id))
-        if len(self.pending[name]) >= self.BATCH:
+        self.bytes[name] = self.bytes.get(name, 0) + len(key)
+        if len(self.pending[name]) >= self.BATCH or self.bytes[name] >= self.BATCH_BYTES:
             self._flush(name)
 
     def _flush(self, name: str) -> None:
@@ -102,7 +104,7 @@ class Indexes:
         if self.pending[name]:
             more = self.spark.createDataFrame(self.pending[name], self.schema)
             self.tables[name] = materialize(self.tables[name].unionByName(more), "index")
-            self.pending[name] = []
+            self.pending[name], self.bytes[name] = [], 0
 
     def insert(self, name: str, key: bytes, row_id: int) -> None:
         self._add(name, "insert", key, row_id)

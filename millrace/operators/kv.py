@@ -49,7 +49,19 @@ def stats(log: DataFrame) -> DataFrame:
     return log.groupBy("op").agg(F.count("*").alias("entries"), F.sum(_size("key")).alias("key_bytes"), F.sum(_size("value")).alias("value_bytes"))
 
 
-def write_levels(log: DataFrame, path: str, file_rows: int = 1_000_000) -> None:
-    """The compacted log as files sorted by key with disjoint ranges: point and range reads touch few row groups."""
-    df = compact(log)
-    df.repartitionByRange("key").sortWithinPartitions("key").write.option("maxRecordsPerFile", file_rows).mode("overwrite").parquet(path)
+#: Files of level 0 that make a compaction due, and the bytes at which its outputs are cut.
+LEVEL_FILES, OUTPUT_BYTES = 4, 2 << 20
+
+
+def merge_level(log: DataFrame, path: str, output_bytes: int = OUTPUT_BYTES) -> DataFrame:
+    """Moves the log to the next level: one row a key, tombstones kept, in files sorted by key whose ranges don't overlap.
+
+    Returns (path, entries, bytes, min_key, max_key) of the files. Point and range reads
+    touch few of them. Ranges are chosen so that a file gets about `output_bytes`.
+    """
+    rows = compact(log)
+    sized = rows.withColumn("_bytes", F.lit(16) + _size("key") + _size("value"))
+    total = sized.agg(F.coalesce(F.sum("_bytes"), F.lit(0))).first()[0]
+    rows.repartitionByRange(max(1, -(-int(total) // output_bytes)), "key").sortWithinPartitions("key").write.mode("overwrite").parquet(path)
+    written = rows.sparkSession.read.schema(rows.schema).parquet(path).withColumn("path", F.col("_metadata.file_path"))
+    return written.groupBy("path").agg(F.count("*").alias("entries"), F.sum(F.lit(16) + _size("key") + _size("value")).alias("bytes"), F.min("key").alias("min_key"), F.max("key").alias("max_key"))
