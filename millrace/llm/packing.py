@@ -9,9 +9,12 @@ best-fit decreasing, in groups of at most GROUP_ITEMS.
 An item over the capacity is divided into full containers of its own and a rest
 that is packed like other items; no other item is divided.
 
-Defined results: items without length (null) or of length 0 take no room and go to
-a container that is full already, if there is one; negative lengths count as 0; a capacity below 1 or null has no
-containers; repeated ids are items of their own.
+Items of length 0 take no room; they are set aside, however many there are, and
+dealt to containers that others have made, once these are known.
+
+Defined results: items without length (null) count as of length 0 and so do negative
+lengths; if there are no others, they share one container; a capacity below 1 or null
+has no containers; repeated ids are items of their own, and so are items without id.
 """
 
 from __future__ import annotations
@@ -29,8 +32,8 @@ from millrace.session import materialize, ship
 
 #: Windows that a partition keeps open for each capacity.
 OPEN_WINDOWS = 1024
-#: Items without length that wait for a first full container.
-WAITING = 10_000
+#: Containers of a capacity among which items of length 0 are dealt.
+HOMES = 256
 #: Items that the last merge packs at once.
 GROUP_ITEMS = 100_000
 
@@ -79,39 +82,25 @@ def _online(specs: list[tuple[int, int]], most: int):
         windows = {s: Windows(c, most, f"{s}-{task}") for s, c in specs}
         held: dict[tuple[int, int], list[tuple]] = {}
         rows: list[tuple] = []
-        closed: dict[int, str] = {}
-        waiting: dict[int, list[int]] = {s: [] for s, _ in specs}
         for batch in batches:
             for doc, size in zip(batch.column("doc_id").to_pylist(), batch.column("size").to_pylist(), strict=True):
                 for spec, capacity in specs:
                     w = windows[spec]
                     if not size:
-                        # never held with a window: there may be any number of them
-                        if spec not in closed and len(waiting[spec]) < WAITING:
-                            waiting[spec].append(doc)
-                        else:
-                            rows.append((spec, doc, 0, 0, 0, closed.setdefault(spec, f"{spec}-{task}-none"), False, capacity))
+                        rows.append((spec, doc, 0, 0, 0, None, False, capacity))
                         continue
                     piece, start = 0, 0
                     while size - start > capacity:
-                        closed[spec] = f"{spec}-{task}-full-{w.count}"
-                        rows.append((spec, doc, piece, start, start + capacity, closed[spec], False, capacity))
+                        rows.append((spec, doc, piece, start, start + capacity, f"{spec}-{task}-full-{w.count}", False, capacity))
                         w.count += 1
                         piece, start = piece + 1, start + capacity
                     window, emitted = w.place(size - start)
                     if emitted is not None:
-                        closed[spec] = w.name(emitted)
-                        rows.extend((*x, closed[spec], False, capacity) for x in held.pop((spec, emitted)))
+                        rows.extend((*x, w.name(emitted), False, capacity) for x in held.pop((spec, emitted)))
                     held.setdefault((spec, window), []).append((spec, doc, piece, start, size))
             if len(rows) > 20_000:
                 yield _batch(rows)
                 rows = []
-        for spec, capacity in specs:
-            for doc in waiting[spec]:
-                if spec in closed:
-                    rows.append((spec, doc, 0, 0, 0, closed[spec], False, capacity))
-                else:
-                    held.setdefault((spec, windows[spec].place(0)[0]), []).append((spec, doc, 0, 0, 0))
         for (spec, window), items in held.items():
             rows.extend((*x, windows[spec].name(window), True, windows[spec].capacity) for x in items)
             if len(rows) > 20_000:
@@ -125,8 +114,8 @@ def _online(specs: list[tuple[int, int]], most: int):
 def _merge(table: pa.Table) -> pa.Table:
     """Best-fit decreasing over the items of one group."""
     rows = table.to_pylist()
-    rows.sort(key=lambda r: (r["from_token"] - r["to_token"], r["doc_id"], r["piece_no"]))
-    name = uuid.uuid5(uuid.NAMESPACE_OID, repr([(r["doc_id"], r["piece_no"]) for r in rows[:50]])).hex[:12]
+    rows.sort(key=lambda r: (r["from_token"] - r["to_token"], r["doc_id"] is None, r["doc_id"] or 0, r["piece_no"]))
+    name = uuid.uuid5(uuid.NAMESPACE_OID, repr([(r["doc_id"], r["piece_no"], r["container_id"]) for r in rows[:50]])).hex[:12]
     windows = Windows(rows[0]["capacity"], None, f"{rows[0]['spec_id']}-m{rows[0]['part']}-{name}")
     out = [(r["spec_id"], r["doc_id"], r["piece_no"], r["from_token"], r["to_token"], windows.name(windows.place(r["to_token"] - r["from_token"])[0]), False, r["capacity"]) for r in rows]
     return pa.Table.from_batches([_batch(out)])
@@ -140,12 +129,22 @@ def fill(items: DataFrame, specs: DataFrame, open_windows: int = OPEN_WINDOWS, g
     spark = items.sparkSession
     ship(spark)
     known = sorted((r[0], r[1]) for r in specs.select("spec_id", "capacity_tokens").distinct().collect() if r[0] is not None and r[1] and r[1] > 0)
-    sized = items.filter(F.col("doc_id").isNotNull()).select("doc_id", F.greatest(F.coalesce(F.col("size").cast("long"), F.lit(0)), F.lit(0)).alias("size"))
+    sized = items.select("doc_id", F.greatest(F.coalesce(F.col("size").cast("long"), F.lit(0)), F.lit(0)).alias("size"))
     placed = materialize(sized.mapInArrow(_online(known, open_windows), _PLACED), "placed")
     left = placed.filter("open")
     counts = left.groupBy("spec_id").agg(F.count("*").alias("items"))
     parts = F.ceil(F.col("items") / F.lit(group_items)).cast("int")
     # whole windows stay together, as they are well filled already; few groups, each of bounded size
     grouped = left.join(F.broadcast(counts), "spec_id").withColumn("part", F.pmod(F.xxhash64("container_id"), parts).cast("int")).drop("items")
-    merged = grouped.groupBy("spec_id", "part").applyInArrow(_merge, _PLACED)
-    return placed.filter("not open").unionByName(merged).select("spec_id", "container_id", "doc_id", "piece_no", "from_token", "to_token")
+    merged = materialize(grouped.groupBy("spec_id", "part").applyInArrow(_merge, _PLACED), "merged")
+    columns = ["spec_id", "container_id", "doc_id", "piece_no", "from_token", "to_token"]
+    whole = placed.filter("not open and container_id is not null").unionByName(merged)
+    aside = placed.filter("container_id is null")
+    if aside.isEmpty():
+        return whole.select(*columns)
+    slot = F.pmod(F.xxhash64("container_id"), F.lit(HOMES))
+    homes = whole.groupBy("spec_id", slot.alias("slot")).agg(F.min("container_id").alias("home"))  # HOMES a capacity at most
+    any_home = homes.groupBy("spec_id").agg(F.min("home").alias("any_home"))
+    dealt = aside.drop("container_id").withColumn("slot", F.pmod(F.xxhash64("doc_id"), F.lit(HOMES))).join(F.broadcast(homes), ["spec_id", "slot"], "left").join(F.broadcast(any_home), "spec_id", "left")
+    empty = F.concat(F.col("spec_id").cast("string"), F.lit("-none"))
+    return whole.select(*columns).unionByName(dealt.withColumn("container_id", F.coalesce("home", "any_home", empty)).select(*columns))

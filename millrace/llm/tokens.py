@@ -15,7 +15,9 @@ tokenizer itself, so the result doesn't depend on the Java version.
 
 Defined results: a null text and the empty text both give the empty list; blank
 texts are ordinary; the strings of special tokens in a text are ordinary text;
-repeated doc_ids give a row each; columns other than id and text are ignored.
+repeated doc_ids and null ones give a row each, in encoding and decoding; columns
+other than id and text are ignored; ids without a piece decode to nothing, and bytes
+that aren't UTF-8 to the replacement sign.
 """
 
 from __future__ import annotations
@@ -68,6 +70,17 @@ def _pattern():
     return regex.compile(PATTERN)
 
 
+def _one(values) -> pa.ListArray:
+    """One row that holds them all."""
+    values = values if isinstance(values, pa.Array) else pa.array(values, pa.int32())
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+
+
+def _block(number: int, ids: pa.Array, lengths, codes, distinct: pa.Array, name: str) -> pa.RecordBatch:
+    columns = [pa.array([number], pa.int64()), _one(ids), _one(lengths), _one(codes), _one(distinct)]
+    return pa.RecordBatch.from_arrays(columns, names=["block", "doc_ids", "lengths", "codes", name])
+
+
 def _blocker(block_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Texts as lists of words, or null with the raw text, into rows of _BLOCKS."""
@@ -87,10 +100,7 @@ def _blocker(block_words: int):
             while start < batch.num_rows:
                 end = max(start + 1, int(np.searchsorted(base, base[start] + block_words, "right")) - 1)
                 part = flat.slice(base[start], base[end] - base[start]).dictionary_encode()
-                row = [[number], [ids.slice(start, end - start).to_numpy(zero_copy_only=False)], [lengths[start:end]], [part.indices.to_numpy()]]
-                columns = [pa.array(c, t) for c, t in zip(row, (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32())), strict=True)]
-                listed = pa.ListArray.from_arrays(pa.array([0, len(part.dictionary)], pa.int32()), part.dictionary)
-                yield pa.RecordBatch.from_arrays([*columns, listed], names=["block", "doc_ids", "lengths", "codes", "words"])
+                yield _block(number, ids.slice(start, end - start), lengths[start:end], part.indices, part.dictionary, "words")
                 number += 1
                 start = end
 
@@ -102,7 +112,7 @@ def blocks(documents: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     ship(documents.sparkSession)
     unknown = F.coalesce(F.col("text").rlike(r"\p{Cn}"), F.lit(False))
     split = F.regexp_extract_all(F.col("text"), F.lit("(?U)" + PATTERN), F.lit(0))
-    rows = documents.filter(F.col("doc_id").isNotNull()).select(
+    rows = documents.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.when(unknown, F.array().cast("array<string>")).otherwise(F.coalesce(split, F.array().cast("array<string>"))).alias("words"),
         F.when(unknown, F.col("text")).alias("raw"),
@@ -144,7 +154,7 @@ def _assemble(block: pa.Table, words: pa.Table) -> pa.Table:
     at = np.repeat(starts[codes] - ends[:-1], many) + np.arange(ends[-1])
     cuts = ends[np.concatenate([[0], np.cumsum(one("lengths"), dtype=np.int64)])]
     ids = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(flat[at] if len(at) else flat[:0], pa.int32()))
-    return pa.Table.from_arrays([pa.array(one("doc_ids"), pa.int64()), ids], schema=schema)
+    return pa.Table.from_arrays([block.column("doc_ids").combine_chunks().flatten(), ids], schema=schema)
 
 
 def encode(documents: DataFrame, directory: str = TOKENIZERS, name: str = "byte_bpe_50k", block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -163,10 +173,52 @@ def pieces(spark, directory: str = TOKENIZERS, name: str = "byte_bpe_50k") -> Da
     return spark.createDataFrame(rows, "id int, piece binary")
 
 
-def decode(encoded: DataFrame, directory: str = TOKENIZERS, name: str = "byte_bpe_50k") -> DataFrame:
-    """(doc_id, text) from (doc_id, ids), by a join of ids with their pieces. The vocabulary's size is fixed, so it is broadcast."""
-    vocabulary = F.broadcast(pieces(encoded.sparkSession, directory, name))
-    spread = encoded.select("doc_id", F.posexplode_outer("ids").alias("at", "id"))
-    joined = spread.join(vocabulary, "id", "left").select("doc_id", F.struct("at", F.hex("piece").alias("piece")).alias("part"))
-    gathered = joined.groupBy("doc_id").agg(F.sort_array(F.collect_list("part")).alias("parts"))
-    return gathered.select("doc_id", F.decode(F.unhex(F.array_join(F.col("parts.piece"), "")), "UTF-8").alias("text"))
+#: Ids of a block that is decoded at once.
+BLOCK_IDS = 1_000_000
+
+
+def _id_blocker(block_ids: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            lists, docs = batch.column("ids"), batch.column("doc_id")
+            lengths = np.diff(lists.offsets.to_numpy())
+            flat, base = lists.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(lengths)])
+            start = 0
+            while start < batch.num_rows:
+                end = max(start + 1, int(np.searchsorted(base, base[start] + block_ids, "right")) - 1)
+                distinct, codes = np.unique(flat[base[start] : base[end]], return_inverse=True)
+                yield _block(number, docs.slice(start, end - start), lengths[start:end], codes.astype(np.int32), pa.array(distinct, pa.int32()), "ids")
+                number += 1
+                start = end
+
+    return run
+
+
+def _spell(block: pa.Table, listed: pa.Table) -> pa.Table:
+    """The texts of a block, from the pieces of its distinct ids."""
+    schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
+    if not block.num_rows:
+        return schema.empty_table()
+    parts = [b""] * listed.num_rows
+    for code, piece in zip(listed.column("code").to_pylist(), listed.column("piece").to_pylist(), strict=True):
+        parts[code] = piece or b""
+    one = lambda c: block.column(c).combine_chunks().flatten()
+    codes = one("codes").to_pylist()
+    ends = np.cumsum(one("lengths").to_numpy(zero_copy_only=False), dtype=np.int64).tolist()
+    texts = [b"".join([parts[c] for c in codes[a:b]]).decode("utf-8", "replace") for a, b in zip([0, *ends], ends, strict=False)]
+    return pa.Table.from_arrays([one("doc_ids"), pa.array(texts, pa.string())], schema=schema)
+
+
+def decode(encoded: DataFrame, directory: str = TOKENIZERS, name: str = "byte_bpe_50k", block_ids: int = BLOCK_IDS) -> DataFrame:
+    """(doc_id, text) of every row of (doc_id, ids), by a join of ids with their pieces.
+
+    As in encoding, rows go in blocks, and only a block's distinct ids meet the
+    vocabulary, whose size is fixed, so it is broadcast.
+    """
+    spark = encoded.sparkSession
+    ship(spark)
+    rows = encoded.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.filter("ids", lambda x: x.isNotNull()), F.array().cast("array<int>")).cast("array<int>").alias("ids"))
+    cut = materialize(rows.mapInArrow(_id_blocker(block_ids), "block long, doc_ids array<long>, lengths array<int>, codes array<int>, ids array<int>"), "id-blocks")
+    listed = cut.select(F.col("block").alias("of"), F.posexplode("ids").alias("code", "id")).join(F.broadcast(pieces(spark, directory, name)), "id", "left").select("of", "code", "piece")
+    return cut.select("block", "doc_ids", "lengths", "codes").groupBy("block").cogroup(listed.groupBy("of")).applyInArrow(_spell, "doc_id long, text string")

@@ -24,10 +24,8 @@ def check(rows, items, capacities):
             used[r.container_id] = used.get(r.container_id, 0) + r.to_token - r.from_token
             pieces.setdefault(r.doc_id, []).append((r.piece_no, r.from_token, r.to_token))
         assert max(used.values(), default=0) <= capacity
-        assert set(pieces) == {i for i, _ in items if i is not None}
+        assert set(pieces) == {i for i, _ in items}
         for doc, size in items:
-            if doc is None:
-                continue
             parts = sorted(pieces[doc])
             assert parts[0][1] == 0 and parts[-1][2] == max(0, size or 0)
             assert all(a[2] == b[1] and b[0] == a[0] + 1 for a, b in zip(parts, parts[1:]))
@@ -56,7 +54,18 @@ def test_edges(spark):
     items = [(1, 0), (2, None), (3, 10), (4, 11), (5, 30), (6, -4), (None, 5), *[(i, 0) for i in range(100, 140)]]
     df, specs = frames(spark, items, {1: 10, 2: 0, 3: -1})
     for _, used in check(fill(df, specs).collect(), items, {1: 10}):
-        assert sorted(used.values()) == [1, 10, 10, 10, 10, 10] or sorted(v for v in used.values() if v) == [1, 10, 10, 10, 10, 10]
+        assert sorted(used.values()) == [6, 10, 10, 10, 10, 10]  # none is empty
+
+
+@pytest.mark.parametrize("parts", [1, 3])
+def test_any_number_of_items_without_length_go_where_others_are(spark, parts):
+    items = [*[(i, 0) for i in range(10_050)], (20_000, 10)]
+    df, specs = frames(spark, items, {1: 10})
+    for _, used in check(fill(df.repartition(parts), specs, group_items=100).collect(), items, {1: 10}):
+        assert list(used.values()) == [10]
+    df, specs = frames(spark, items[:50], {1: 10})
+    for _, used in check(fill(df, specs).collect(), items[:50], {1: 10}):
+        assert used == {"1-none": 0}
 
 
 def test_groups_of_the_merge_are_bounded(spark):
