@@ -81,7 +81,7 @@ class _State:
         self.db.unregister("batch")
 
     def keys(self) -> int:
-        return self.db.execute("SELECT count(*) FROM state").fetchone()[0]
+        return self.db.execute("SELECT count(*) FROM state").fetchall()[0][0]  # all rows: an unfinished result would block the connection
 
     def export(self) -> Iterator[pa.RecordBatch]:
         reader = self.db.sql("SELECT * FROM state").to_arrow_reader(65_536)
@@ -103,6 +103,7 @@ def _upserter(schema: T.StructType, keys: Sequence[str], most: int | None):
                 rows = state.keys()
                 if rows >= most // 2:
                     yield from state.export()
+                    state.db.close()
                     state, rows = None, 0
         if state:
             yield from state.export()

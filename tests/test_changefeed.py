@@ -1,7 +1,10 @@
 import random
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import types as T
 
+from millrace.operators import changefeed
 from millrace.operators.changefeed import ChangeFeedTable, current_keys, latest_changes, store_changes
 from millrace.session import fresh_path
 
@@ -39,6 +42,22 @@ def test_the_last_change_of_each_key_stays(spark, seed):
     assert got == brute(rows)
 
 
+@pytest.mark.parametrize("spread", [4, 12, 1000])
+def test_a_combiner_goes_on_when_it_has_had_its_number_of_rows(spread):
+    schema = T.StructType([T.StructField("k", T.StringType()), T.StructField("eff", T.LongType()), T.StructField("tie", T.LongType()), T.StructField("live", T.BooleanType())])
+    rng = random.Random(spread)
+    rows = [(f"k{rng.randrange(spread)}", rng.randrange(500), i, rng.random() < 0.8) for i in range(300)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[at : at + 7], strict=True)], names=schema.names) for at in range(0, 300, 7)]
+    got = [r for b in changefeed._upserter(schema, ["k"], 20)(iter(batches)) for r in zip(*b.to_pydict().values(), strict=True)]
+    best = {}
+    for k, *rank in rows:
+        best[k] = max(best.get(k, rank), rank)
+    last = {}
+    for k, *rank in got:
+        last[k] = max(last.get(k, rank), rank)
+    assert last == best and (len(got) == spread if spread < 10 else len(got) <= 300)
+
+
 def test_feeds_in_any_order_give_one_state(spark):
     rows = noisy(3)
     table = ChangeFeedTable(spark, fresh_path(spark, "t"), ["k"], ["v"], buckets=7)
