@@ -11,7 +11,7 @@ import re
 
 import numpy as np
 
-from millrace.llm.tagger import FAR
+from millrace.llm.tagger import BLOCK, FAR
 
 _LETTERS = "äöüÄÖÜßſéèêëàâáíîïóôúûùçñÉÈÀÁÍÓÚÇÑœ"
 _SIGNS = "—–•£€°§«»„“”’‘¿¡½¼¾©®"
@@ -104,7 +104,10 @@ def scores(tagger, codes: np.ndarray, cuts: np.ndarray) -> np.ndarray:
         x = np.zeros((len(rows), lengths[rows[-1]]), np.uint8)
         for i, r in enumerate(rows):
             x[i, : lengths[r]] = signs[cuts[r, 0] : cuts[r, 1]]
-        got = np.ascontiguousarray(tagger.scores(x.T).transpose(2, 1, 0))
+        found = tagger.scores(np.ascontiguousarray(x.T))
+        got = np.empty(found.shape[::-1], found.dtype)
+        for t in range(0, len(found), BLOCK):
+            got[:, :, t : t + BLOCK] = found[t : t + BLOCK].transpose(2, 1, 0)
         for part, r in zip(got, rows, strict=True):
             a, b, first = cuts[r].tolist()
             part = part[:, : b - a]
@@ -130,7 +133,7 @@ def tag(tagger, codes: np.ndarray, spans: np.ndarray) -> np.ndarray:
     for a, b in spans.tolist():
         inside[a:b] = True
         merged[1:, a : a + 1] = merged[1:, max(a, b - 1) : b] = FAR
-    merged[1:, ~inside[:-1]] = FAR
+    merged[1:, np.flatnonzero(~inside[:-1])] = FAR
     open_ = tagger.open_places(merged) & inside[:-1]
     edge = np.diff(np.concatenate([[0], open_.view(np.int8), [0]]))
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
@@ -140,7 +143,7 @@ def tag(tagger, codes: np.ndarray, spans: np.ndarray) -> np.ndarray:
     low, high = starts - ((starts > 0) & inside[starts - 1]), ends + inside[ends]
     merged[1:, low[low < starts]] = merged[1:, ends[high > ends]] = FAR
     for place, mine in _batches(np.stack([low, high], 1), 4096):
-        best = tagger.viterbi(np.ascontiguousarray(merged[:, np.minimum(place, len(codes) - 1)].transpose(1, 0, 2)), ~mine)
+        best = tagger.viterbi(np.ascontiguousarray(merged.take(np.minimum(place, len(codes) - 1), 1).transpose(1, 0, 2)), ~mine)
         tags[place[mine]] = best[mine]
     return tags
 

@@ -17,6 +17,8 @@ import numpy as np
 FAR = np.float32(-1e4)
 #: Length of the vectors of signs.
 EMBED = 16
+#: Places whose vectors are put together at once; so many stay in a CPU's cache.
+BLOCK = 32
 
 
 class Tagger:
@@ -37,31 +39,46 @@ class Tagger:
         }
         self.p["near"][:, 0] = 0
         self.p = {k: v.astype(np.float32) for k, v in self.p.items()}
+        self._rooms: dict[str, np.ndarray] = {}
 
     # ---- the network
 
-    def _inputs(self, x: np.ndarray) -> np.ndarray:
-        """(T, EMBED, B) of signs x (T, B); padding and what is beyond the window's ends count nothing."""
-        near = self.p["near"]
-        e = near[1][x]
-        e[1:] += near[0][x[:-1]]
-        e[:-1] += near[2][x[1:]]
-        return np.ascontiguousarray(e.transpose(0, 2, 1))
+    def _room(self, name: str, shape: tuple[int, ...], kind: np.dtype) -> np.ndarray:
+        """An array whose memory the next call for this name gets again; new memory costs more than what is written to it."""
+        size = int(np.prod(shape))
+        held = self._rooms.get(name)
+        if held is None or held.size < size or held.dtype != kind:
+            held = self._rooms[name] = np.empty(size, kind)
+        return held[:size].reshape(shape)
+
+    def _inputs(self, x: np.ndarray, out: np.ndarray) -> np.ndarray:
+        """(T, EMBED, B) of signs x (T, B), in `out`; padding and what is beyond the window's ends count nothing."""
+        near, steps = self.p["near"], len(x)
+        for at in range(0, steps, BLOCK):
+            to = min(at + BLOCK, steps)
+            first, last = max(at, 1), min(to, steps - 1)
+            e = near[1].take(x[at:to], 0)
+            e[first - at :] += near[0].take(x[first - 1 : to - 1], 0)
+            e[: last - at] += near[2].take(x[at + 1 : last + 1], 0)
+            out[at:to] = e.transpose(0, 2, 1)
+        return out
 
     def _states(self, x: np.ndarray, keep: dict | None = None) -> np.ndarray:
-        """States (T, 2, H, B) of signs x (T, B); `keep` gets what the gradient needs."""
+        """States (T, 2, H, B) of signs x (T, B), which last until the next call; `keep` gets what the gradient needs."""
         steps, width = x.shape
         n, gates = self.hidden, self.p["gates"]
         kind = gates.dtype
-        e = self._inputs(x)
+        room = self._room if keep is None else lambda _, shape, kind: np.empty(shape, kind)
+        e = self._inputs(x, room("inputs", (steps, EMBED, width), kind))
         into = np.zeros((2, n + EMBED + 1, width), kind)
         into[:, -1] = 1
         c, bent = np.zeros((2, n, width), kind), np.empty((2, n, width), kind)
         z = np.empty((2, 4 * n, width), kind)
         h = into[:, :n]
-        out = np.empty((steps, 2, n, width), kind)
+        i, f, o, g, three = z[:, :n], z[:, n : 2 * n], z[:, 2 * n : 3 * n], z[:, 3 * n :], z[:, : 3 * n]
+        out = room("states", (steps, 2, n, width), kind)
         pads = x == 0
-        padded = pads.any(1)
+        padded = pads.any(1).tolist()
         if keep is not None:
             keep.update(z=np.empty((steps, 2, 4 * n, width), kind), c=np.empty((steps, 2, n, width), kind), bent=np.empty((steps, 2, n, width), kind), into=np.empty((steps, 2, n + EMBED + 1, width), kind))
         for t in range(steps):
@@ -71,13 +88,13 @@ class Tagger:
                 keep["into"][t], keep["c"][t] = into, c
             np.matmul(gates, into, out=z)
             np.tanh(z, out=z)
-            z[:, : 3 * n] += 1
-            c *= z[:, n : 2 * n]
-            np.multiply(z[:, :n], z[:, 3 * n :], out=bent)
+            three += 1
+            c *= f
+            np.multiply(i, g, out=bent)
             c += bent
             c *= 0.5
             np.tanh(c, out=bent)
-            np.multiply(z[:, 2 * n : 3 * n], bent, out=h)
+            np.multiply(o, bent, out=h)
             if keep is not None:
                 keep["z"][t], keep["bent"][t] = z, bent
             if padded[back]:
@@ -90,7 +107,9 @@ class Tagger:
     def scores(self, x: np.ndarray) -> np.ndarray:
         """Scores (T, 1 + kinds, B) of the tags; tag 0 is outside."""
         states = self._states(x)
-        return np.matmul(self.p["out"], states.reshape(len(x), 2 * self.hidden, -1)) + self.p["bias"][:, None]
+        out = np.matmul(self.p["out"], states.reshape(len(x), 2 * self.hidden, -1))
+        out += self.p["bias"][:, None]
+        return out
 
     def decode(self, x: np.ndarray) -> np.ndarray:
         """The best tags (T, B)."""

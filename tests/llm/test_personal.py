@@ -218,3 +218,29 @@ def test_cleaning_keeps_offsets():
     text = "Thorn-\r\nwick\xad\nby, nea\xb7r 555-\n0131 and Fe-\nTam"
     view, offsets = pages.clean(text)
     assert view == "Thornwickby, near 555-0131 and Fe- Tam" and all(text[o] == c or text[o] == "\n" for o, c in zip(offsets, view))
+
+
+def test_scores_reuse_their_memory():
+    import tracemalloc
+
+    tagger = Tagger(pages.SIGNS, len(personal.KINDS))
+    x = np.random.default_rng(1).integers(1, pages.SIGNS, (320, 64)).astype(np.uint8)
+    tagger.scores(x)
+    tracemalloc.start()
+    tagger.scores(x)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < x.size * 2 * tagger.hidden * 4  # less than the states alone
+
+
+def test_scores_do_not_depend_on_calls_before():
+    rng, used = np.random.default_rng(2), Tagger(pages.SIGNS, len(personal.KINDS))
+    near = used.p["near"]
+    for steps, width in ((90, 7), (1, 1), (33, 3), (32, 9), (64, 2), (2, 5), (31, 7)):
+        x = rng.integers(1, pages.SIGNS, (steps, width)).astype(np.uint8)
+        x[steps - steps // 3 :, -1] = 0
+        e = near[1][x]
+        e[1:] += near[0][x[:-1]]
+        e[:-1] += near[2][x[1:]]
+        assert np.array_equal(used._inputs(x, np.empty((steps, e.shape[2], width), np.float32)), e.transpose(0, 2, 1))
+        assert np.array_equal(used.scores(x), Tagger(pages.SIGNS, len(personal.KINDS)).scores(x))
